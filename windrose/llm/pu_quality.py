@@ -12,7 +12,7 @@ shares (capitals, symbols, digits, repeated words, word length, punctuation). Th
 trusted and the unlabelled texts by more than ``z`` standard errors are kept, so the model is a short sparse vector.
 
 The class prior is the smallest ratio, over thresholds of the score of a first classifier fitted to one half, of the other half's
-unlabelled share above the threshold, plus a confidence margin, to its positive share: no set of documents can hold a larger share of the unlabelled ones
+unlabelled share above the threshold to its positive share, the threshold chosen by that ratio's upper confidence bound: no set of documents can hold a larger share of the unlabelled ones
 than p times its share of the positives unless bad documents are in it.
 
 The fit takes at most ``positives`` and ``unlabelled`` documents, the first by a hash of their id: documented bounds of a model fit. It runs in
@@ -139,12 +139,13 @@ def _adam(gradient, width: int, steps: int, rate: float) -> np.ndarray:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.1) -> float:
-    """The smallest upper bound of the unlabelled share over the positive share above a threshold; shares of positives under ``least`` are left out."""
+    """The unlabelled share over the positive share above the threshold where that ratio's upper bound is smallest; shares of positives under ``least`` are left out."""
     thresholds = np.quantile(positive, np.linspace(0, 1 - least, 200))
     above_p = 1 - np.searchsorted(np.sort(positive), thresholds) / len(positive)
     above_u = 1 - np.searchsorted(np.sort(unlabelled), thresholds) / len(unlabelled)
     margin = np.sqrt(np.log(20) / 2 / len(unlabelled)) + np.sqrt(np.log(20) / 2 / len(positive))
-    return float(np.clip(((above_u + margin) / np.maximum(above_p, 1e-9)).min(), 0.05, 0.99))
+    best = int(np.argmin((above_u + margin) / np.maximum(above_p, 1e-9)))
+    return float(np.clip(above_u[best] / max(above_p[best], 1e-9), 0.05, 0.99))
 
 
 @dataclass
@@ -162,8 +163,8 @@ class Model:
         return np.bincount(np.repeat(np.arange(len(of) - 1), np.diff(of)), dense[number], minlength=len(of) - 1) + self.bias
 
 
-def fit(positive: Sparse, unlabelled: Sparse, *, z: float = 4.0, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, prior: float | None = None) -> Model:
-    """The model of the non-negative risk."""
+def fit(positive: Sparse, unlabelled: Sparse, *, z: float = 4.0, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, keep: float = 0.99, prior: float | None = None) -> Model:
+    """The model of the non-negative risk; ``keep``: the least share of the positives that its threshold accepts."""
     n_p, n_u = len(positive.of) - 1, len(unlabelled.of) - 1
     if not n_p or not n_u:
         return Model()
@@ -195,7 +196,9 @@ def fit(positive: Sparse, unlabelled: Sparse, *, z: float = 4.0, steps: int = 30
     elif prior is None:
         prior = 0.5
     w = _adam(lambda w: risks(w, prior), len(kept) + 1, steps, rate)
-    return Model(kept, w[:-1], float(w[-1]), prior)
+    # Where the risk is flat the bias is not determined: the accepted share of the unlabelled is the prior, and trusted texts stay.
+    cut = min(np.quantile(x_u.dot(w[:-1]), 1 - prior), np.quantile(x_p.dot(w[:-1]), 1 - keep))
+    return Model(kept, w[:-1], float(-np.nextafter(cut, -np.inf)), prior)
 
 
 def _rows(blobs: list[bytes]) -> Sparse:
