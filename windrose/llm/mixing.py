@@ -98,5 +98,5 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **op
     # Equal rows share their group's copies: the nth of k takes numbers n, n + k, n + 2k ...
     joined = joined.withColumn(nth, F.row_number().over(W.partitionBy(one, two).orderBy(one, two)))
     joined = joined.where(F.col(nth) <= F.col(times))
-    numbers = F.sequence(F.col(nth).cast("bigint"), F.col(times), F.col(alike))
-    return joined.select(*map(col, names), F.explode(numbers).cast("int").alias("copy"))
+    numbers = F.sequence(*(F.col(c).cast("int") for c in (nth, times, alike)))
+    return joined.select(*map(col, names), F.explode(numbers).alias("copy"))
