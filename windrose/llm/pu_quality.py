@@ -163,11 +163,12 @@ class Model:
         return np.bincount(np.repeat(np.arange(len(of) - 1), np.diff(of)), dense[number], minlength=len(of) - 1) + self.bias
 
 
-def fit(positive: Sparse, unlabelled: Sparse, *, z: float = 4.0, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, keep: float = 0.99, prior: float | None = None) -> Model:
-    """The model of the non-negative risk; ``keep``: the least share of the positives that its threshold accepts."""
+def fit(positive: Sparse, unlabelled: Sparse, *, z: float | None = None, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, keep: float = 0.99, prior: float | None = None) -> Model:
+    """The model of the non-negative risk; ``keep``: the least share of the positives that its threshold accepts; ``z``: by default 3 standard errors up to 1,000 positives, 4 from 10,000."""
     n_p, n_u = len(positive.of) - 1, len(unlabelled.of) - 1
     if not n_p or not n_u:
         return Model()
+    z = 3 + np.clip(np.log10(n_p / 1000), 0, 1) if z is None else z
     f_p, f_u = np.bincount(positive.number, minlength=WIDTH) / n_p, np.bincount(unlabelled.number, minlength=WIDTH) / n_u
     both = (f_p * n_p + f_u * n_u) / (n_p + n_u)
     error = np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
