@@ -3,11 +3,12 @@
 A *line* here is a stretch of text up to its terminators: it ends after a run of ``. ! ?`` or newlines and
 the white space behind them, so a passage is found inside a longer physical line too. A *window* is the
 shortest stretch of whole lines with at least ``min_words`` words that starts, or ends, at a given line.
-Every run of that many words is covered by windows that lie inside it, and each window's smallest line
-hash is the same wherever the window is repeated: these minima are the guaranteed fingerprints.
+Every run of that many words is covered by windows that lie inside it, and a window's smallest hash is the same
+wherever the window is repeated: these minima are the guaranteed fingerprints.
 
 1. one pass over the texts writes every document's line hashes, word counts and offsets (no text);
-2. window minima are counted over the corpus; those that occur once are dropped;
+2. each window's fingerprint is the smallest hash of two neighbouring lines in it (of the line, where it has one);
+   they are counted over the corpus, and those that occur once are dropped;
 3. around each repeated fingerprint the match is extended both ways, by the hash of each window holding it;
 4. windows that occur at an earlier (doc_id, position) are later repeats; their union is deleted.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from windrose.llm import _text
 from windrose.llm._common import col, fresh, others, written
 
-MIN_WORDS = 24
+MIN_WORDS = 24  # at most 255, as longer lines count as 255 words
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
@@ -58,7 +59,7 @@ def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def _windows(words: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last line of every window: the shortest from each line on, and the shortest up to each line."""
     total = np.zeros(len(words) + 1, np.int64)
-    np.cumsum(words, out=total[1:])
+    np.cumsum(words, out=total[1:], dtype=np.int64)
     size = np.diff(of)
     here = np.arange(len(words))
     to = np.searchsorted(total[1:], total[:-1] + least)
@@ -69,8 +70,23 @@ def _windows(words: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray,
     return np.concatenate((here[ahead], back[behind])), np.concatenate((to[ahead], here[behind]))
 
 
+def _fingerprints(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, position) of each window: the smallest hash of two neighbouring lines inside it, or the hash of its only line.
+
+    Positions tell fingerprints of the same place apart from repeats; those of single lines follow those of pairs.
+    """
+    pairs = _text.mix(hashes[:-1] * np.uint64(0x2545F4914F6CDD1D) + hashes[1:]) if len(hashes) else hashes
+    single = np.flatnonzero(start == end)
+    several = np.flatnonzero(start != end)
+    value, place = np.empty(len(start), np.uint64), np.empty(len(start), np.int64)
+    value[single], place[single] = hashes[start[single]], start[single] + len(hashes)
+    place[several] = _minima(pairs, start[several], end[several] - 1)
+    value[several] = pairs[place[several]]
+    return value, place
+
+
 def _minima(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The line with the smallest hash of each window, the last of equal ones."""
+    """The position of the smallest hash of each range, the last of equal ones."""
     level = np.frexp((end - start + 1).astype(np.float64))[1] - 1
     best, out = np.arange(len(hashes)), np.empty(len(start), np.int64)
     for k in range(int(level.max(initial=-1)) + 1):
@@ -83,7 +99,18 @@ def _minima(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return out
 
 
+def _steps(place: np.ndarray) -> bytes:
+    """Differences, the bytes of equal weight together, so that a codec sees the zeros."""
+    return np.diff(place, prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _places(blobs: list[bytes]) -> np.ndarray:
+    parts = [np.cumsum(np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel(), dtype=np.int32) for b in blobs]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    most = 255  # a longer line counts as so many words: enough for any window
     for batch in batches:
         data, offsets = _text.buffers(batch.column(2))
         for a, b in _text.chunks(offsets):
@@ -92,32 +119,34 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chars = np.zeros(len(part) + 1, np.int64)
             np.cumsum((part & 0xC0) != 0x80, out=chars[1:])
             place = (chars[at] - np.repeat(chars[of[:-1]], np.diff(lines))).astype(np.int32)
-            blobs = [x.tobytes() for x in (hashes, words.astype(np.int32), place)]
-            cut = [pa.array([blob[i * w : j * w] for i, j in zip(lines[:-1], lines[1:])], pa.binary()) for blob, w in zip(blobs, (8, 4, 4))]
+            blobs = [x.tobytes() for x in (hashes, np.minimum(words, most).astype(np.uint8))]
+            cut = [pa.array([blob[i * w : j * w] for i, j in zip(lines[:-1], lines[1:])], pa.binary()) for blob, w in zip(blobs, (8, 1))]
+            cut.append(pa.array([_steps(place[i:j]) for i, j in zip(lines[:-1], lines[1:])], pa.binary()))
             size = pa.array(np.diff(chars[of]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], size, *cut], ["doc_id", "k", "size", "hashes", "words", "places"])
 
 
-def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and word counts of the lines, and the n + 1 offsets of the documents into them."""
+
     def flat(name: str, kind: type) -> np.ndarray:
         column = batch.column(name)
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
         return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind), offsets
 
     hashes, offsets = flat("hashes", np.uint64)
-    return hashes, flat("words", np.int32)[0], flat("places", np.int32)[0], (offsets - offsets[0]).astype(np.int64) // 8
+    return hashes, flat("words", np.uint8)[0], (offsets - offsets[0]).astype(np.int64) // 8
 
 
 def _anchors(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, words, _, of = _unpacked(batch)
+            hashes, words, of = _unpacked(batch)
             start, end = _windows(words, of, least)
-            at = np.zeros(len(hashes), bool)
-            at[_minima(hashes, start, end)] = True
-            at = np.flatnonzero(at)
-            keys = batch.column("k").to_numpy()[np.searchsorted(of, at, "right") - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(keys)], ["fp", "k"])
+            value, place = _fingerprints(hashes, start, end)
+            _, first = np.unique(place, return_index=True)
+            keys = batch.column("k").to_numpy()[np.searchsorted(of, start[first], "right") - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(value[first].view(np.int64)), pa.array(keys)], ["fp", "k"])
 
     return run
 
@@ -127,15 +156,15 @@ def _extended(least: int):
         for batch in batches:
             if not len(batch):
                 continue
-            hashes, words, places, of = _unpacked(batch)
+            hashes, words, of = _unpacked(batch)
+            places = _places(batch.column("places").to_pylist())
             start, end = _windows(words, of, least)
             doc = np.searchsorted(of, start, "right") - 1
-            low = hashes[_minima(hashes, start, end)]
+            low = (_fingerprints(hashes, start, end)[0] & np.uint64(0x7FFFFFFF)).astype(np.int64)
             fps = batch.column("fps")
             size = np.diff(np.frombuffer(fps.buffers()[1], np.int32)[fps.offset : fps.offset + len(fps) + 1])
-            wanted = np.zeros(int(size.sum()), [("d", np.int64), ("h", np.uint64)])
-            wanted["d"], wanted["h"] = np.repeat(np.arange(len(fps)), size), fps.flatten().to_numpy().view(np.uint64)
-            hit = np.flatnonzero(np.isin(_text.mix(low ^ _text.mix(doc.astype(np.uint64))), _text.mix(wanted["h"] ^ _text.mix(wanted["d"].astype(np.uint64)))))
+            wanted = np.repeat(np.arange(len(fps)), size) << 31 | fps.flatten().to_numpy()
+            hit = np.flatnonzero(np.isin(doc << 31 | low, wanted))
             start, end, doc, low = start[hit], end[hit], doc[hit], low[hit]
             base, inverse = _text._power(_text._BASE, len(hashes)), _text._power(_text._INVERSE, len(hashes))
             total = np.zeros(len(hashes) + 1, np.uint64)
@@ -146,7 +175,7 @@ def _extended(least: int):
             final = end + 1 == of[doc + 1]
             upto[final] = sizes[doc[final]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(low.view(np.int64)), pa.array(content.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array(batch.column("k").to_numpy()[doc]), pa.array(places[start]), pa.array(upto.astype(np.int32))],
+                [pa.array(low.astype(np.int32)), pa.array(content.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array(batch.column("k").to_numpy()[doc]), pa.array(places[start]), pa.array(upto.astype(np.int32))],
                 ["fp", "content", "doc_id", "k", "start", "upto"],
             )
 
@@ -155,15 +184,18 @@ def _extended(least: int):
 
 def repeated_ranges(docs: DataFrame, min_words: int = MIN_WORDS, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(k, ranges): the stretches to delete of each document that has any, as [start, upto) in characters, disjoint and in order."""
+    if not 1 <= min_words <= 255:
+        raise ValueError("min_words must be from 1 to 255")
     k = F.xxhash64(col(doc_id), col(text))
     source = docs.where(col(text).isNotNull()).select(col(doc_id).cast("bigint").alias("doc_id"), k.alias("k"), col(text).alias("text"))
     lines = written(
         source.mapInArrow(_lines, "doc_id bigint, k bigint, size int, hashes binary, words binary, places binary"), "lines"
     )
-    marks = lines.mapInArrow(_anchors(min_words), "fp bigint, k bigint")
-    often = marks.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    hits = marks.join(often.hint("shuffle_hash"), "fp").groupBy("k").agg(F.collect_set("fp").alias("fps"))
-    windows = lines.dropDuplicates(["k"]).join(hits, "k").mapInArrow(_extended(min_words), "fp bigint, content bigint, doc_id bigint, k bigint, start int, upto int")
+    marks = lines.mapInArrow(_anchors(min_words), "fp bigint, k bigint").repartition("fp")
+    often = marks.groupBy("fp").agg(F.count("k").alias("n")).where("n > 1").select("fp")
+    short = F.col("fp").bitwiseAND(0x7FFFFFFF).cast("int")
+    hits = marks.join(often.hint("shuffle_hash"), "fp").groupBy("k").agg(F.collect_set(short).alias("fps"))
+    windows = lines.dropDuplicates(["k"]).join(hits, "k").mapInArrow(_extended(min_words), "fp int, content bigint, doc_id bigint, k bigint, start int, upto int")
     windows = windows.repartition("fp", "content")
     place = F.struct("doc_id", "k", "start", "upto")
     first = windows.groupBy("fp", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
