@@ -1 +1,10 @@
-"""windrose: reranking, ranking evaluation and training-data operators as Spark DataFrame programs."""
+"""Reranking and ranking evaluation as PySpark DataFrame operations."""
+
+from windrose.config import Listwise, Pairwise, PriceConfig
+from windrose.errors import DocumentTooLongError, RerankError, RerankInputError, RerankParseError, RerankProviderError
+from windrose.operators.rerank import Reranker
+
+__all__ = [
+    "DocumentTooLongError", "Listwise", "Pairwise", "PriceConfig", "RerankError", "RerankInputError", "RerankParseError",
+    "RerankProviderError", "Reranker",
+]

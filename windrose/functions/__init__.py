@@ -1 +1 @@
-
+"""Column expressions and the strict parsers of provider answers."""

@@ -1 +1 @@
-
+"""Registered queries, their SQL, and runs."""

@@ -1 +1 @@
-
+"""Readers of benchmark files and writers of results."""

@@ -1 +1 @@
-
+"""Reranking of candidates that arrive as a stream."""
