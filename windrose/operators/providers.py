@@ -72,12 +72,13 @@ async def _listwise(provider: Any, outcome: Outcome, query: str, texts: list[str
 
 
 async def _pairwise(provider: Any, outcome: Outcome, query: str, texts: list[str], strategy: Pairwise) -> list[int]:
+    """The two orders of a pair overlap only where the provider is async; a plain one needn't be safe for threads."""
     order = list(range(len(texts)))
     for _ in range(strategy.passes):
         for right in range(len(order) - 1, 0, -1):
             a, b = texts[order[right - 1]], texts[order[right]]
             asked = [(query, a, b), (query, b, a)]
-            if strategy.pair_order_parallelism == 2:
+            if strategy.pair_order_parallelism == 2 and inspect.iscoroutinefunction(provider.compare):
                 raw = await asyncio.gather(*(_call(provider, outcome, "compare", *x) for x in asked))
             else:
                 raw = [await _call(provider, outcome, "compare", *x) for x in asked]

@@ -121,16 +121,16 @@ results AS (
 ]
 
 _METRICS = ["ndcg_at_10", "mrr_at_10", "map", "recall_at_10"]
-_MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in _METRICS)
-_VALID_MEANS = ", ".join(f"round(coalesce(avg(CASE WHEN valid THEN {m} END), 0), 6) AS {m}_valid_only" for m in _METRICS)
+_MEANS = ", ".join(f"round(avg({m}), 9) AS {m}" for m in _METRICS)
+_VALID_MEANS = ", ".join(f"round(coalesce(avg(CASE WHEN valid THEN {m} END), 0), 9) AS {m}_valid_only" for m in _METRICS)
 
 _SUMMARY = f"""
 SELECT method, task, CASE WHEN grouping(task) = 1 THEN 'overall' ELSE 'task' END AS level, count(*) AS query_count,
-  count(CASE WHEN valid THEN 1 END) AS valid_count, round(avg(CASE WHEN valid THEN 0.0 ELSE 1.0 END), 6) AS invalid_rate, {_MEANS}, {_VALID_MEANS},
+  count(CASE WHEN valid THEN 1 END) AS valid_count, round(avg(CASE WHEN valid THEN 0.0 ELSE 1.0 END), 9) AS invalid_rate, {_MEANS}, {_VALID_MEANS},
   quantile_disc(latency_ms, 0.5) AS latency_p50_ms, quantile_disc(latency_ms, 0.95) AS latency_p95_ms,
-  round(coalesce(avg(prompt_tokens), 0), 6) AS prompt_tokens_mean, round(coalesce(avg(completion_tokens), 0), 6) AS completion_tokens_mean,
-  round(avg(llm_calls), 6) AS llm_calls_mean, CAST(sum(llm_calls) AS BIGINT) AS llm_calls_total, round(coalesce(sum(cost), 0), 6) AS cost_total,
-  round(coalesce(avg(cost), 0), 6) AS cost_mean_costed, round(avg(coalesce(cost, 0)), 6) AS cost_mean_all
+  round(coalesce(avg(prompt_tokens), 0), 9) AS prompt_tokens_mean, round(coalesce(avg(completion_tokens), 0), 9) AS completion_tokens_mean,
+  round(avg(llm_calls), 9) AS llm_calls_mean, CAST(sum(llm_calls) AS BIGINT) AS llm_calls_total, round(coalesce(sum(cost), 0), 9) AS cost_total,
+  round(coalesce(avg(cost), 0), 9) AS cost_mean_costed, round(avg(coalesce(cost, 0)), 9) AS cost_mean_all
 FROM results GROUP BY GROUPING SETS ((method), (method, task))"""
 
 _SIZES = "WITH s AS (SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n FROM lineitem GROUP BY l_orderkey)\n"
@@ -153,7 +153,7 @@ ORACLES: dict[str, str] = {
         f"metric_{query}": _with(_LIST20, _scores(), select=f"SELECT query_id, round({short}, 6) AS {name} FROM scores")
         for query, short, name in (("ndcg10", "ndcg", "ndcg_at_k"), ("mrr10", "mrr", "mrr_at_k"), ("recall10", "recall", "recall_at_k"), ("map", "map", "map"))
     },
-    "metric_zero_on_invalid": _with(*_RESULTS, select="SELECT query_id, method, valid, " + ", ".join(f"round({m}, 6) AS {m}" for m in _METRICS) + " FROM results"),
+    "metric_zero_on_invalid": _with(*_RESULTS, select="SELECT query_id, method, valid, " + ", ".join(f"round({m}, 9) AS {m}" for m in _METRICS) + " FROM results"),
     "summary_by_method": _with(*_RESULTS, select=f"SELECT method, count(*) AS case_count, {_MEANS} FROM results GROUP BY method"),
     "summary_by_task_method": _with(*_RESULTS, select=_SUMMARY),
     "failure_histogram": _with(*_RESULTS, select="SELECT method, failure_type, count(*) AS failures FROM results WHERE failure_type IS NOT NULL GROUP BY ALL"),

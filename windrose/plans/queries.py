@@ -134,7 +134,8 @@ def method_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+    """Nine digits: mean costs have seven or eight, so six would round halves."""
+    return df.select(*(F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
 def metric_zero_on_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
