@@ -36,7 +36,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 

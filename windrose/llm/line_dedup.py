@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from windrose.llm import _text
 from windrose.llm._common import col, fresh, others, written
 
+_KEY_LOW = 16  # bits of a document's key that ride below a 48-bit fingerprint; 24 more follow in a column of their own
 MIN_WORDS = 24  # at most 255, as longer lines count as 255 words
 
 _STOP = np.zeros(256, bool)
@@ -145,8 +146,10 @@ def _anchors(least: int):
             start, end = _windows(words, of, least)
             value, place = _fingerprints(hashes, start, end)
             _, first = np.unique(place, return_index=True)
-            keys = batch.column("k").to_numpy()[np.searchsorted(of, start[first], "right") - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(value[first].view(np.int64)), pa.array(keys)], ["fp", "k"])
+            keys = batch.column("k").to_numpy()[np.searchsorted(of, start[first], "right") - 1].view(np.uint64)
+            packed = value[first] >> np.uint64(_KEY_LOW) << np.uint64(_KEY_LOW) | keys & np.uint64((1 << _KEY_LOW) - 1)
+            rest = (keys >> np.uint64(_KEY_LOW) & np.uint64(0xFFFFFF)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(rest)], ["packed", "rest"])
 
     return run
 
@@ -160,7 +163,7 @@ def _extended(least: int):
             places = _places(batch.column("places").to_pylist())
             start, end = _windows(words, of, least)
             doc = np.searchsorted(of, start, "right") - 1
-            low = (_fingerprints(hashes, start, end)[0] & np.uint64(0x7FFFFFFF)).astype(np.int64)
+            low = (_fingerprints(hashes, start, end)[0] >> np.uint64(_KEY_LOW) & np.uint64(0x7FFFFFFF)).astype(np.int64)
             fps = batch.column("fps")
             size = np.diff(np.frombuffer(fps.buffers()[1], np.int32)[fps.offset : fps.offset + len(fps) + 1])
             wanted = np.repeat(np.arange(len(fps)), size) << 31 | fps.flatten().to_numpy()
@@ -174,9 +177,10 @@ def _extended(least: int):
             upto = np.append(places, np.int32(0))[end + 1]
             final = end + 1 == of[doc + 1]
             upto[final] = sizes[doc[final]]
+            span = places[start].astype(np.int64) << 32 | upto
             yield pa.RecordBatch.from_arrays(
-                [pa.array(low.astype(np.int32)), pa.array(content.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array(batch.column("k").to_numpy()[doc]), pa.array(places[start]), pa.array(upto.astype(np.int32))],
-                ["fp", "content", "doc_id", "k", "start", "upto"],
+                [pa.array((low & 0xFFFFFF).astype(np.int32)), pa.array(content.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array(batch.column("k").to_numpy()[doc]), pa.array(span)],
+                ["fp", "content", "doc_id", "k", "span"],
             )
 
     return run
@@ -191,16 +195,22 @@ def repeated_ranges(docs: DataFrame, min_words: int = MIN_WORDS, *, doc_id: str
     lines = written(
         source.mapInArrow(_lines, "doc_id bigint, k bigint, size int, hashes binary, words binary, places binary"), "lines"
     )
-    marks = lines.mapInArrow(_anchors(min_words), "fp bigint, k bigint").repartition("fp")
-    often = marks.groupBy("fp").agg(F.count("k").alias("n")).where("n > 1").select("fp")
+    value = F.coalesce(F.shiftrightunsigned("packed", _KEY_LOW), F.lit(0))
+    marks = lines.mapInArrow(_anchors(min_words), "packed bigint, rest int").repartition(value).withColumn("fp", value)
+    # Counting ``rest`` keeps both uses on the same columns, so that they share one exchange; so do keys that can't be null.
+    often = marks.groupBy("fp").agg(F.count("rest").alias("n")).where("n > 1").select("fp")
     short = F.col("fp").bitwiseAND(0x7FFFFFFF).cast("int")
-    hits = marks.join(often.hint("shuffle_hash"), "fp").groupBy("k").agg(F.collect_set(short).alias("fps"))
-    windows = lines.dropDuplicates(["k"]).join(hits, "k").mapInArrow(_extended(min_words), "fp int, content bigint, doc_id bigint, k bigint, start int, upto int")
+    part = F.coalesce(F.shiftleft(F.col("rest").cast("bigint"), _KEY_LOW).bitwiseOR(F.col("packed").bitwiseAND((1 << _KEY_LOW) - 1)), F.lit(0))
+    hits = marks.join(often.hint("shuffle_hash"), "fp").groupBy(part.alias("part")).agg(F.collect_set(short).alias("fps"))
+    # Documents are found by 40 bits of their key: one that shares them gets fingerprints too many, which find nothing in it.
+    own = lines.withColumn("part", F.col("k").bitwiseAND((1 << (24 + _KEY_LOW)) - 1)).repartition("part").dropDuplicates(["part", "k"])
+    windows = own.join(hits, "part").drop("part").mapInArrow(_extended(min_words), "fp int, content bigint, doc_id bigint, k bigint, span bigint")
     windows = windows.repartition("fp", "content")
-    place = F.struct("doc_id", "k", "start", "upto")
+    place = F.struct("doc_id", "k", "span")
     first = windows.groupBy("fp", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(first.hint("shuffle_hash"), ["fp", "content"]).where(place > F.col("first"))
-    ranges = later.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("start", "upto"))).alias("r"))
+    spans = F.transform(F.array_sort(F.collect_set("span")), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("start"), x.bitwiseAND(0x7FFFFFFF).cast("int").alias("upto")))
+    ranges = later.groupBy(F.coalesce("k", F.lit(0)).alias("k")).agg(spans.alias("r"))
     empty = F.array().cast("array<struct<start:int,upto:int>>")
     joined = F.aggregate(
         "r", empty,
