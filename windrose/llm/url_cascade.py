@@ -154,9 +154,9 @@ def _judge(blobs, shards: int):
 
 def _judge_shard(pages: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     out = np.zeros(len(pages), bool)
-    known = pages["hi"].notna().to_numpy()
+    known = pages["known"].to_numpy().astype(bool)
     if len(filters):
-        hi, lo = (pages.loc[known, k].astype(np.int64).to_numpy().view(np.uint64) for k in ("hi", "lo"))
+        hi, lo = (pages.loc[known, k].to_numpy().view(np.uint64) for k in ("hi", "lo"))
         out[known] = Cascade.load(filters["filter"].iloc[0]).has(hi, lo)
     return pd.DataFrame({"page_id": pages["page_id"], "url": pages["url"], "blocked": out})
 
@@ -177,9 +177,12 @@ def judge(
         return source.mapInArrow(_judge(blobs, shards), schema)
     # The filters are too large for every executor: rows meet the filter of their shard, a slice of each at a time.
     slices = 64
-    source = source.withColumns({"shard": F.pmod(F.coalesce("hi", F.lit(0)), F.lit(shards)).cast("int"), "slice": F.pmod(F.xxhash64("page_id"), F.lit(slices)).cast("int")})
+    # Keys and ids must hold no nulls here, or pandas would make doubles of them.
+    source = source.withColumns({"known": F.col("hi").isNotNull(), "hi": F.coalesce("hi", F.lit(0)), "lo": F.coalesce("lo", F.lit(0)), "page_id": F.col("page_id").cast("string")})
+    source = source.withColumns({"shard": F.pmod("hi", F.lit(shards)).cast("int"), "slice": F.pmod(F.xxhash64("page_id"), F.lit(slices)).cast("int")})
     spread = filters.select("shard", "filter", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    return source.groupBy("shard", "slice").cogroup(spread.groupBy("shard", "slice")).applyInPandas(_judge_shard, schema)
+    judged = source.groupBy("shard", "slice").cogroup(spread.groupBy("shard", "slice")).applyInPandas(_judge_shard, "page_id string, url string, blocked boolean")
+    return judged.withColumn("page_id", F.col("page_id").cast("bigint"))
 
 
 def allowed(pages: DataFrame, listed_urls: DataFrame, **options) -> DataFrame:
