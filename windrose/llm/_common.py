@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Members of one group that a single output row may list; a larger group takes several rows.
 PART_ROWS = 100_000
@@ -64,6 +65,19 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def mapped(df: DataFrame, run, made: list[tuple[str, str]]) -> DataFrame:
+    """``df`` through ``run`` in Arrow batches, which keep its columns in their order and are followed by ``made`` (name, type).
+
+    Columns travel under numbers, so that any names will do, dots included.
+    """
+    numbers = [f"c{i}" for i in range(len(df.columns))]
+    source = df.select(*(col(c).alias(n) for c, n in zip(df.columns, numbers)))
+    schema = StructType([*source.schema.fields])
+    for name, kind in made:
+        schema = schema.add(f"made_{name}", kind)
+    return source.mapInArrow(run, schema).toDF(*df.columns, *(name for name, _ in made))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of the component of every node in ``edges`` (u, v: bigint).
 

@@ -8,7 +8,7 @@ expands left and right to the boundaries of the candidate and validates it:
 * ``url``: scheme, host with a dot or a user part, up to a delimiter, without trailing punctuation;
 * ``ip``: four octets of 0 to 255 without leading zeros;
 * ``phone``: an international number of 8 to 15 digits with single separators and balanced brackets;
-* ``card``: 13 to 19 digits, in plain or separated groups, that pass the Luhn sum and start like a card;
+* ``card``: 13 to 19 digits, in plain or separated groups, that pass the Luhn sum and have an issuer's start and length;
 * ``iban``: country, check digits and length, with the mod-97 sum;
 * ``ssn``: nine digits as 3-2-4 with valid groups, after a cue;
 * ``account``: 6 to 17 digits after an account cue;
@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from windrose.llm._common import col, others
+from windrose.llm._common import col, mapped, others
 
 Finding = tuple[int, int, str]
 
@@ -141,7 +141,7 @@ def luhn(digits: str) -> bool:
 
 
 _CARD = re.compile(r"\d(?:[ -]?\d){12,18}(?![\d])")
-_ISSUER = re.compile(r"4|5[1-5]|2[2-7]|3[47]|3[068]|6")
+_ISSUER = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3[068]\d{12}(?:\d\d)?|6\d{15,18}")
 
 
 def card(text: str, at: int) -> Finding | None:
@@ -152,7 +152,7 @@ def card(text: str, at: int) -> Finding | None:
     if not found:
         return None
     end, raw = found.end(), re.sub("[ -]", "", found.group())
-    if end < len(text) and (text[end].isalpha() or text[end] == "_") or not _ISSUER.match(raw) or len(set(raw)) == 1 or not luhn(raw):
+    if end < len(text) and (text[end].isalpha() or text[end] == "_") or not _ISSUER.fullmatch(raw) or len(set(raw)) == 1 or not luhn(raw):
         return None
     return at, end, "card"
 
@@ -331,9 +331,6 @@ def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
                 texts.append(masked(t, found) if found else t)
                 counts.append(len(found))
             columns = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], [*names, "n_private"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], [*batch.schema.names, "made_n_private"])
 
-    from pyspark.sql.types import IntegerType, StructType
-
-    source = docs.select(*map(col, names))
-    return source.mapInArrow(run, StructType([*source.schema.fields]).add("n_private", IntegerType()))
+    return mapped(docs.select(*map(col, names)), run, [("n_private", "integer")])

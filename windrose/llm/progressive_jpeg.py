@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from windrose.llm._common import col, others
+from windrose.llm._common import col, mapped, others
 
 ZIGZAG = np.array([
     0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
@@ -373,8 +373,6 @@ def decode(data: bytes) -> np.ndarray:
 
 def decoded(files: DataFrame, *, file: str = "file") -> DataFrame:
     """``files``, all its columns, with width, height, rgb (bytes, row by row) and error."""
-    from pyspark.sql.types import BinaryType, IntegerType, StringType, StructType
-
     names = others(files, "width", "height", "rgb", "error")
     at = names.index(file)
 
@@ -391,11 +389,9 @@ def decoded(files: DataFrame, *, file: str = "file") -> DataFrame:
                     rows.append((None, None, None, str(bad)))
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
             made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, "width", "height", "rgb", "error"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *(f"made_{n}" for n in ("width", "height", "rgb", "error"))])
 
-    source = files.select(*map(col, names))
-    schema = StructType([*source.schema.fields]).add("width", IntegerType()).add("height", IntegerType()).add("rgb", BinaryType()).add("error", StringType())
-    return source.mapInArrow(run, schema)
+    return mapped(files.select(*map(col, names)), run, [("width", "integer"), ("height", "integer"), ("rgb", "binary"), ("error", "string")])
 
 
 # Encoding: for tests, and for tables that have no media of their own.

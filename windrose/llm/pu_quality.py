@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrose.llm import _text
-from windrose.llm._common import col, others
+from windrose.llm._common import col, mapped, others
 
 BITS = 18
 STEPS = 16
@@ -244,20 +244,18 @@ def _scorer(model: Model, names: list[str], text: str):
             scores = [model.scores(*features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in _text.chunks(offsets)]
             score = np.concatenate(scores) if scores else np.zeros(0)
             keep = np.flatnonzero(score > 0)
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep)).columns, pa.array(score[keep])], [*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep)).columns, pa.array(score[keep])], [*batch.schema.names, "made_quality_score"])
 
     return run
 
 
 def accepted(docs: DataFrame, model: Model, *, columns: list[str] | None = None, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model accepts, with ``quality_score``; ``columns``: those to return, by default all."""
-    from pyspark.sql.types import DoubleType, StructType
-
     names = others(docs, "quality_score")
     wanted = names if columns is None else columns
     read = wanted if text in wanted else [*wanted, text]
     source = docs.select(*map(col, read))
-    out = source.mapInArrow(_scorer(model, read, text), StructType([*source.schema.fields]).add("quality_score", DoubleType()))
+    out = mapped(source, _scorer(model, read, text), [("quality_score", "double")])
     return out.select(*map(col, wanted), "quality_score")
 
 
