@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from windrose.llm.oracles import ORACLES as ORACLES
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -99,5 +101,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_quality_classifier, op8_progressive_jpeg, op9_mixing, op10_exact_dedup,
     )
 }
-
-ORACLES: dict[str, str] = {}
