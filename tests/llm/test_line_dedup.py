@@ -63,6 +63,21 @@ def test_passages_inside_paragraphs_go_and_clean_texts_stay(spark):
     assert all(got[50 + i]["text"] == rows[5 + i][1] and got[50 + i]["chars_removed"] == 0 for i in range(5))
 
 
+def test_passages_inside_sentences_go(spark):
+    rng = random.Random(4)
+    passages = [sentence(rng, n)[:-1].lower().split() for n in (50, 50, 55, 60, 70, 80, 90)]
+    for p in passages[1:]:  # whole lines of fewer than 24 words between the first and the last
+        p[14] += "."
+        p[-14] += "."
+    rows = [row(10 * i + j, text(rng, 3) + " " + sentence(rng, 7)[:-1] + " " + " ".join(p) + " " + sentence(rng, 7).lower() + " " + text(rng, 3)) for i, p in enumerate(passages) for j in range(3)]
+    got = {r["doc_id"]: r["text"] for r in remove_repeats(frame(spark, rows)).collect()}
+    for i, p in enumerate(passages):
+        assert got[10 * i] == rows[3 * i][1]
+        for j in (1, 2):
+            assert not any(" ".join(p[k : k + 14]) in got[10 * i + j] for k in range(len(p) - 13))
+            assert all(w in got[10 * i + j] for w in (rows[3 * i + j][1][:20], rows[3 * i + j][1][-20:]))
+
+
 def test_awkward_rows(spark):
     rows = awkward(random.Random(3))
     got = remove_repeats(frame(spark, rows, extra=True))

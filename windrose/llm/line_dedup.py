@@ -1,10 +1,14 @@
 """Line dedup by winnowing: repeated runs of lines go everywhere but where they occur first.
 
 A *line* here is a stretch of text up to its terminators: it ends after a run of ``. ! ?`` or newlines and
-the white space behind them, so a passage is found inside a longer physical line too. A *window* is the
+the white space behind them, so a passage is found inside a longer physical line too. A line of more than ``_WIDE``
+words is cut further, before the word with the smallest hash of every ``_WIDE`` words in a row: such cuts are the same wherever
+the words are, so a passage inside a sentence has lines of its own. A *window* is the
 shortest stretch of whole lines with at least ``min_words`` words that starts, or ends, at a given line.
-Every run of that many words is covered by windows that lie inside it, and a window's smallest hash is the same
-wherever the window is repeated: these minima are the guaranteed fingerprints.
+Every run of whole lines with that many words is covered by windows that lie inside it, and a window's smallest hash is the same
+wherever the window is repeated: these minima are the guaranteed fingerprints. A run that starts and ends anywhere
+loses at most ``_WIDE`` words at each end to lines it shares with its surroundings, so one of ``min_words`` + 2 ``_WIDE`` (50) words is always found;
+those words at its ends stay.
 
 1. one pass over the texts writes every document's line hashes, word counts and offsets (no text);
 2. each window's fingerprint is the smallest hash of two neighbouring lines in it (of the line, where it has one);
@@ -31,6 +35,7 @@ from windrose.llm._common import col, fresh, others, written
 
 _KEY_LOW = 16  # bits of a document's key that ride below a 48-bit fingerprint; 24 more follow in a column of their own
 MIN_WORDS = 24  # at most 255, as longer lines count as 255 words
+_WIDE = 13  # words of the longest line
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
@@ -52,6 +57,9 @@ def split_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     opens[1:] = stops[starts[1:]] > stops[ends[:-1]]
     firsts = np.searchsorted(starts, offsets[:-1])
     opens[firsts[firsts < len(starts)]] = True
+    line = np.cumsum(opens)
+    long = np.flatnonzero(line[:-_WIDE] == line[_WIDE:]) + 1
+    opens[_minima(_text.span_hashes(data, starts, ends), long, long + _WIDE - 1)] = True
     first = np.flatnonzero(opens)
     last = np.append(first[1:], len(starts)) - 1 if len(first) else first
     return _text.span_hashes(data, starts[first], ends[last]), last - first + 1, starts[first], np.searchsorted(starts[first], offsets)
