@@ -38,6 +38,19 @@ def test_prior_of_known_mixtures():
         assert abs(Q.estimate_prior(rng.normal(3, 1, n), unlabelled) - share) < 0.05
 
 
+def test_features_prior_and_threshold_come_from_all_documents(spark):
+    rng = random.Random(5)
+    rows = [row(i, text(rng, 6) + (" zzrare" if i % 40 == 0 else "") if i % 3 else junk(rng) + (" zzrare" if i % 40 == 0 else "")) for i in range(3000)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1200) if i % 3 and i % 40], LABELS)
+    docs = frame(spark, rows)
+    model = Q.train(docs, Q.trusted_ids(labels), unlabelled=60)
+    data = np.frombuffer(b"zzrare", np.uint8)
+    number, _ = Q.features(data, np.array([0, 6]))
+    assert set(number[number < Q.WIDTH - Q.STEPS * Q.SHARES]) & set(model.kept)
+    n = Q.accepted(docs, model, columns=["doc_id"]).count()
+    assert abs(model.prior - 2 / 3) < 0.1 and n >= model.prior * 3000 - 3
+
+
 def test_trusted_ids(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, 0), (4, 0, 0), (5, 1, None), (6, None, 0), (None, 1, 0)], LABELS)
     assert {r[0] for r in Q.trusted_ids(labels).collect()} == {1, 5, None}

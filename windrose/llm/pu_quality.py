@@ -15,8 +15,9 @@ The class prior is the smallest ratio, over thresholds of the score of a first c
 unlabelled share above the threshold to its positive share, the threshold chosen by that ratio's upper confidence bound: no set of documents can hold a larger share of the unlabelled ones
 than p times its share of the positives unless bad documents are in it.
 
-The fit takes at most ``positives`` and ``unlabelled`` documents, the first by a hash of their id: documented bounds of a model fit. It runs in
-one task; the driver receives the model only. Scoring reads all documents.
+Feature counts, the prior's shares above its thresholds and the quantile that sets the threshold are sums over all documents (the prior's without those its
+first classifier was fitted to); all documents are written once as rows over the kept features. Of trusted documents at most ``positives`` count, and the gradient
+takes at most ``unlabelled`` of the others, the first by a hash of their id. It runs in one task; the driver receives sums and the model only.
 
 Defined cases: a null text, or one without words, scores as the empty feature set plus the bias; documents without a label are
 unlabelled; of several labels of a document it counts as trusted if all say so; with no trusted positive nothing is learnt and
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrose.llm import _text
-from windrose.llm._common import col, mapped, others
+from windrose.llm._common import col, mapped, others, written
 
 BITS = 18
 STEPS = 16
@@ -138,16 +139,24 @@ def _adam(gradient, width: int, steps: int, rate: float) -> np.ndarray:
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.1) -> float:
-    """The unlabelled share over the positive share above the threshold where that ratio's upper bound is smallest; shares of positives under ``least`` are left out."""
-    thresholds = np.quantile(positive, np.linspace(0, 1 - least, 200))
+def _thresholds(positive: np.ndarray, least: float = 0.1) -> np.ndarray:
+    return np.quantile(positive, np.linspace(0, 1 - least, 200))
+
+
+def _least_ratio(positive: np.ndarray, thresholds: np.ndarray, above: np.ndarray, n_u: int) -> float:
     above_p = 1 - np.searchsorted(np.sort(positive), thresholds) / len(positive)
-    above_u = 1 - np.searchsorted(np.sort(unlabelled), thresholds) / len(unlabelled)
-    margin = np.sqrt(np.log(20) / 2 / len(unlabelled)) + np.sqrt(np.log(20) / 2 / len(positive))
+    above_u = above / n_u
+    margin = np.sqrt(np.log(20) / 2 / n_u) + np.sqrt(np.log(20) / 2 / len(positive))
     best = int(np.argmin((above_u + margin) / np.maximum(above_p, 1e-9)))
     return float(np.clip(above_u[best] / max(above_p[best], 1e-9), 0.05, 0.99))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.1) -> float:
+    """The unlabelled share over the positive share above the threshold where that ratio's upper bound is smallest; shares of positives under ``least`` are left out."""
+    thresholds = _thresholds(positive, least)
+    return _least_ratio(positive, thresholds, len(unlabelled) - np.searchsorted(np.sort(unlabelled), thresholds), len(unlabelled))
+
+
 @dataclass
 class Model:
     """Weights of the kept features, the bias, the estimated prior and the threshold of the score."""
@@ -163,77 +172,180 @@ class Model:
         return np.bincount(np.repeat(np.arange(len(of) - 1), np.diff(of)), dense[number], minlength=len(of) - 1) + self.bias
 
 
-def fit(positive: Sparse, unlabelled: Sparse, *, z: float | None = None, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, keep: float = 0.99, prior: float | None = None) -> Model:
-    """The model of the non-negative risk; ``keep``: the least share of the positives that its threshold accepts; ``z``: by default 3 standard errors up to 1,000 positives, 4 from 10,000."""
-    n_p, n_u = len(positive.of) - 1, len(unlabelled.of) - 1
-    if not n_p or not n_u:
-        return Model()
+def select(n_p: int, f_p: np.ndarray, n_u: int, f_u: np.ndarray, z: float | None = None) -> np.ndarray:
+    """The features whose frequencies differ; ``z``: by default 3 standard errors up to 1,000 positives, 4 from 10,000."""
     z = 3 + np.clip(np.log10(n_p / 1000), 0, 1) if z is None else z
-    f_p, f_u = np.bincount(positive.number, minlength=WIDTH) / n_p, np.bincount(unlabelled.number, minlength=WIDTH) / n_u
+    f_p, f_u = f_p / n_p, f_u / n_u
     both = (f_p * n_p + f_u * n_u) / (n_p + n_u)
     error = np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
-    kept = np.flatnonzero(np.abs(f_p - f_u) > z * np.maximum(error, 1e-12))
-    x_p, x_u = positive.only(kept), unlabelled.only(kept)
+    return np.flatnonzero(np.abs(f_p - f_u) > z * np.maximum(error, 1e-12))
+
 
-    def risks(w: np.ndarray, p: float) -> np.ndarray:
+def contrast(x_p: Sparse, x_u: Sparse, *, steps: int = 100, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights and bias of a classifier of positives against unlabelled, for the prior."""
+
+    def gradient(w: np.ndarray) -> np.ndarray:
         s_p, s_u = x_p.dot(w[:-1]) + w[-1], x_u.dot(w[:-1]) + w[-1]
-        negative = np.logaddexp(0, s_u).mean() - p * np.logaddexp(0, s_p).mean()
+        g_p, g_u = -_sigmoid(-s_p) / len(s_p), _sigmoid(s_u) / len(s_u)
+        return np.append(x_p.back(g_p) + x_u.back(g_u) + decay * w[:-1], g_p.sum() + g_u.sum())
+
+    return _adam(gradient, x_p.width + 1, steps, rate)
+
+
+def fit(x_p: Sparse, x_u: Sparse, prior: float, *, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Weights and bias of the least non-negative risk."""
+    n_p, n_u = len(x_p.of) - 1, len(x_u.of) - 1
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        s_p, s_u = x_p.dot(w[:-1]) + w[-1], x_u.dot(w[:-1]) + w[-1]
+        negative = np.logaddexp(0, s_u).mean() - prior * np.logaddexp(0, s_p).mean()
         down_p, up_p, up_u = -_sigmoid(-s_p) / n_p, _sigmoid(s_p) / n_p, _sigmoid(s_u) / n_u
         if negative >= 0:
-            g_p, g_u = p * down_p - p * up_p, up_u
+            g_p, g_u = prior * down_p - prior * up_p, up_u
         else:
-            g_p, g_u = p * up_p, -up_u
+            g_p, g_u = prior * up_p, -up_u
         return np.append(x_p.back(g_p) + x_u.back(g_u) + decay * w[:-1], g_p.sum() + g_u.sum())
 
-    def contrast(w: np.ndarray) -> np.ndarray:
-        s_p, s_u = half_p.dot(w[:-1]) + w[-1], half_u.dot(w[:-1]) + w[-1]
-        g_p, g_u = -_sigmoid(-s_p) / len(s_p), _sigmoid(s_u) / len(s_u)
-        return np.append(half_p.back(g_p) + half_u.back(g_u) + decay * w[:-1], g_p.sum() + g_u.sum())
-
-    if prior is None and min(n_p, n_u) > 1:
-        half_p, half_u = x_p.every_other(0), x_u.every_other(0)
-        first = _adam(contrast, len(kept) + 1, steps // 3, rate)
-        prior = estimate_prior(x_p.every_other(1).dot(first[:-1]), x_u.every_other(1).dot(first[:-1]))
-    elif prior is None:
-        prior = 0.5
-    w = _adam(lambda w: risks(w, prior), len(kept) + 1, steps, rate)
-    # Where the risk is flat the bias is not determined: the accepted share of the unlabelled is the prior, and trusted texts stay.
-    cut = min(np.quantile(x_u.dot(w[:-1]), 1 - prior), np.quantile(x_p.dot(w[:-1]), 1 - keep))
-    return Model(kept, w[:-1], float(-np.nextafter(cut, -np.inf)), prior)
+    return _adam(gradient, x_p.width + 1, steps, rate)
 
 
-def _rows(blobs: list[bytes]) -> Sparse:
+def _rows(blobs: list[bytes], width: int) -> Sparse:
     of = np.concatenate(([0], np.cumsum([len(b) // 4 for b in blobs]))).astype(np.int64)
-    return Sparse(np.frombuffer(b"".join(blobs), np.int32).astype(np.int64), of, WIDTH)
+    return Sparse(np.frombuffer(b"".join(blobs), np.int32).astype(np.int64), of, width)
+
+
+def _summed(df: DataFrame, tally, size: int) -> np.ndarray:
+    """The sums over all of ``df`` of what ``tally`` makes of each batch: ``size`` numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            total += tally(batch)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
+
+    got = df.mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _text_tally(batch: pa.RecordBatch) -> np.ndarray:
+    """In how many texts each feature is, and the number of texts."""
+    total = np.zeros(WIDTH + 1, np.int64)
+    data, offsets = _text.buffers(batch.column(0))
+    for a, b in _text.chunks(offsets):
+        total[:-1] += np.bincount(features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0], minlength=WIDTH)
+    total[-1] = len(batch)
+    return total
+
+
+def _row_tally(batch: pa.RecordBatch) -> np.ndarray:
+    rows = _rows(batch.column(0).to_pylist(), WIDTH)
+    return np.append(np.bincount(rows.number, minlength=WIDTH), len(batch))
+
+
+def _reduced(kept: np.ndarray):
+    """Texts as rows over the kept features."""
+    place = np.full(WIDTH, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = _text.buffers(batch.column(1))
+            for a, b in _text.chunks(offsets):
+                number, of = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                number = place[number]
+                rows = pa.array([(x := number[i:j])[x >= 0].tobytes() for i, j in zip(of[:-1], of[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], rows], ["h", "features"])
+
+    return run
+
+
+def _above(w: np.ndarray, thresholds: np.ndarray, sampled: int):
+    """How many held-out documents score no less than each threshold, and how many there are; those with an even ``h`` up to ``sampled`` were fitted to."""
+
+    def tally(batch: pa.RecordBatch) -> np.ndarray:
+        h = batch.column(0)
+        fitted = h.fill_null(1).to_numpy()
+        fitted = (fitted <= sampled) & (fitted % 2 == 0)
+        scores = np.sort(_rows(batch.column(1).to_pylist(), len(w) - 1).dot(w[:-1])[~fitted])
+        return np.append(len(scores) - np.searchsorted(scores, thresholds), len(scores))
+
+    return tally
+
+
+_FINE = 4096  # steps of the score in which its distribution is counted
+
+
+def _quantile(rows: DataFrame, w: np.ndarray, share: float) -> float:
+    """The score that ``share`` of all rows are below, from counts of its steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step, n = np.unique(np.floor(_rows(batch.column(0).to_pylist(), len(w) - 1).dot(w[:-1]) * _FINE).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n)], ["step", "n"])
+
+    got = rows.select("features").mapInArrow(run, "step bigint, n bigint").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").toArrow()
+    below = np.cumsum(got["n"].to_numpy())
+    return float(got["step"].to_numpy()[min(np.searchsorted(below, share * below[-1], "right"), len(below) - 1)] / _FINE)
 
 
 def train(
-    docs: DataFrame, trusted: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, trusted: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED, keep: float = 0.99, doc_id: str = "doc_id", text: str = "text"
 ) -> Model:
     """The model fitted to documents whose ids are in ``trusted`` (one column) and to others.
 
-    ``positives`` and ``unlabelled`` bound the documents taken for the fit.
+    ``positives`` bounds the trusted documents, ``unlabelled`` those whose gradient is taken; ``keep``: the least share of the positives that the threshold accepts.
     """
     source = docs.where(col(text).isNotNull()).select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text"))
     ids = trusted.select(col(trusted.columns[0]).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
-    order = F.xxhash64(F.lit("fit"), "doc_id")
+    order, h = F.xxhash64(F.lit("fit"), "doc_id"), F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit("unlabelled"), "doc_id"))
     # Ids alone choose the sample; then only its texts are read on.
-    good = ids.join(source.select("doc_id"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(True).alias("trusted"))
-    any_ = source.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64(F.lit("unlabelled"), "doc_id"), "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("trusted"))
-    chosen = F.broadcast(good.unionByName(any_))  # two bounded samples
-    sample = source.join(chosen, "doc_id").select("trusted", "text")
-    rows = sample.mapInArrow(_featurised, "trusted boolean, features binary")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        blobs = part["features"].map(bytes)
-        mask = part["trusted"].to_numpy().astype(bool)
-        model = fit(_rows(list(blobs[mask])), _rows(list(blobs[~mask])))
-        return pd.DataFrame({"kept": [model.kept.tobytes()], "weights": [model.weights.tobytes()], "bias": [model.bias], "prior": [model.prior]})
-
-    got = rows.groupBy().applyInPandas(run, "kept binary, weights binary, bias double, prior double").first()
-    if got is None:
+    good = F.broadcast(ids.join(source.select("doc_id"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(positives))
+    first = source.join(good, "doc_id").select(F.lit(True).alias("trusted"), "text")
+    some = written(first.mapInArrow(_featurised, "trusted boolean, features binary").select("features"), "trusted")
+    of_p = _summed(some, _row_tally, WIDTH + 1)
+    sampled = source.select(h.alias("h")).where("h is not null").orderBy("h").limit(unlabelled).agg(F.max("h")).first()[0]
+    n_p = int(of_p[-1])
+    if not n_p or sampled is None:
         return Model()
-    return Model(np.frombuffer(bytes(got["kept"]), np.int64), np.frombuffer(bytes(got["weights"])), got["bias"], got["prior"])
+    of_u = _summed(source.select("text"), _text_tally, WIDTH + 1)
+    kept = select(n_p, of_p[:-1], int(of_u[-1]), of_u[:-1])
+    width = len(kept)
+    everything = written(source.select(h.alias("h"), "text").mapInArrow(_reduced(kept), "h bigint, features binary"), "quality")
+    sample = some.select(F.lit(None).cast("bigint").alias("h"), "features").unionByName(everything.where(F.col("h") <= sampled))
+
+    def parts(part: pd.DataFrame) -> tuple[Sparse, Sparse, np.ndarray]:
+        mask, blobs = part["h"].isna().to_numpy(), part["features"].map(bytes)
+        even = part["h"][~mask].to_numpy().astype(np.int64) % 2 == 0
+        return _rows(list(blobs[mask]), WIDTH).only(kept), blobs[~mask], even
+
+    def halves(part: pd.DataFrame) -> pd.DataFrame:
+        x_p, blobs, even = parts(part)
+        if n_p < 2 or not even.any():
+            return pd.DataFrame({"w": [None], "held": [None]})
+        w = contrast(x_p.every_other(0), _rows(list(blobs[even]), width))
+        return pd.DataFrame({"w": [w.tobytes()], "held": [x_p.every_other(1).dot(w[:-1]).tobytes()]})
+
+    def whole(part: pd.DataFrame) -> pd.DataFrame:
+        x_p, blobs, _ = parts(part)
+        w = fit(x_p, _rows(list(blobs), width), prior)
+        return pd.DataFrame({"w": [w.tobytes()], "cut": [float(np.quantile(x_p.dot(w[:-1]), 1 - keep))]})
+
+    prior = 0.5
+    got = sample.groupBy().applyInPandas(halves, "w binary, held binary").first()
+    if got["w"] is not None:
+        held = np.frombuffer(bytes(got["held"]))
+        at = _thresholds(held)
+        above = _summed(everything, _above(np.frombuffer(bytes(got["w"])), at, sampled), len(at) + 1)
+        if above[-1]:
+            prior = _least_ratio(held, at, above[:-1], int(above[-1]))
+    got = sample.groupBy().applyInPandas(whole, "w binary, cut double").first()
+    w = np.frombuffer(bytes(got["w"]))
+    # Where the risk is flat the bias is not determined: the accepted share of all documents is the prior, and trusted texts stay.
+    cut = min(_quantile(everything, w, 1 - prior), got["cut"])
+    return Model(kept, w[:-1], float(-np.nextafter(cut, -np.inf)), prior)
 
 
 def _scorer(model: Model, names: list[str], text: str):
