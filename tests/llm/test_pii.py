@@ -40,6 +40,20 @@ def test_clean(body):
     assert pii.scan(body) == []
 
 
+@pytest.mark.parametrize("n", [201, 5000])
+@pytest.mark.parametrize("form", ['token = "{}"', "token = '{}'", "token = {} ", "{} "])
+def test_long_secrets_are_found_to_their_end(n, form):
+    values = ["x1-" * (n // 3)] if "token" in form else [p + "a1" * (n // 2) for p in ("sk-", "xoxb-", "ghp_", "AIza")]
+    for value in values:
+        body = form.format(value)
+        start = body.index(value)
+        assert pii.scan(body) == [(start, start + len(value), "secret")]
+
+
+def test_cards_of_issuer_35():
+    assert pii.scan("paid by 3530111333300000.") == [(8, 24, "card")]
+
+
 def naive(body: str) -> list:
     """Every parser at every position of the text, without anchors found by the automaton."""
     hits = set()

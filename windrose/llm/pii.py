@@ -141,7 +141,7 @@ def luhn(digits: str) -> bool:
 
 
 _CARD = re.compile(r"\d(?:[ -]?\d){12,18}(?![\d])")
-_ISSUER = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3[068]\d{12}(?:\d\d)?|6\d{15,18}")
+_ISSUER = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3[068]\d{12}(?:\d\d)?|35\d{14}|6\d{15,18}")
 
 
 def card(text: str, at: int) -> Finding | None:
@@ -181,7 +181,18 @@ def iban(text: str, at: int) -> Finding | None:
 
 _SSN = re.compile(r"[\s:#=a-zA-Z.]{0,12}?(\d{3})-(\d{2})-(\d{4})(?![\d-])")
 _NUMBER = re.compile(r"(?:\s*(?:no|nr|num|number|id))?\.?\s*[:#=]?\s*((?:\d[ -]?){5,16}\d)(?![\dA-Za-z])", re.I)
-_VALUE = re.compile(r"[\w-]{0,24}[\"']?\s{0,4}(?:=|:)\s{0,4}(?:\"([^\"\n]{4,200})\"|'([^'\n]{4,200})'|([^\s\"',;|<>]{4,200}))")
+_ASSIGNS = re.compile(r"[\w-]{0,24}[\"']?\s{0,4}(?:=|:)\s{0,4}")
+_QUOTED = re.compile(r"\"([^\"\n]{4,})\"|'([^'\n]{4,})'")
+_BARE = re.compile(r"[^\s\"',;|<>]*")
+_runs: dict[re.Pattern, tuple[str, int, int]] = {}
+
+
+def _run_end(kind: re.Pattern, text: str, at: int) -> int:
+    """The end of the run of one class of characters; the last run is kept, so that many cues inside it take linear time."""
+    last = _runs.get(kind)
+    if last is None or last[0] is not text or not last[1] <= at < last[2]:
+        last = _runs[kind] = text, at, kind.match(text, at).end()
+    return last[2]
 
 
 def _cue_starts(text: str, at: int) -> bool:
@@ -201,30 +212,45 @@ def account(text: str, at: int, end: int) -> Finding | None:
 
 
 def assigned(text: str, at: int, end: int) -> Finding | None:
-    found = _VALUE.match(text, end)
-    if not found:
+    found = _ASSIGNS.match(text, end)
+    if not found or at and text[at - 1].isalpha():
         return None
-    which = found.lastindex
-    stop = found.end(which)
-    while which == 3 and stop > found.start(3) and text[stop - 1] in ".!?)":
-        stop -= 1
-    value = text[found.start(which) : stop]
-    if len(value) < 6 or (at and text[at - 1].isalpha()) or not any(c.isdigit() or not c.isalnum() for c in value):
+    start = found.end()
+    if quoted := _QUOTED.match(text, start):
+        start, stop = quoted.span(quoted.lastindex)
+    else:
+        stop = _run_end(_BARE, text, start)
+        if stop - start < 4:
+            return None
+        while stop > start and text[stop - 1] in ".!?)":
+            stop -= 1
+    if stop - start < 6 or not any(text[i].isdigit() or not text[i].isalnum() for i in range(start, stop)):
         return None
-    return found.start(which), stop, "secret"
+    return start, stop, "secret"
 
 
 _PREFIXED = {
     "AKIA": re.compile(r"AKIA[A-Z0-9]{12,20}(?![A-Za-z0-9])"), "ASIA": re.compile(r"ASIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    "ghp_": re.compile(r"ghp_[A-Za-z0-9]{20,80}"), "sk-": re.compile(r"sk-[A-Za-z0-9_-]{20,100}"), "xox": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,100}"),
-    "AIza": re.compile(r"AIza[A-Za-z0-9_-]{30,40}"), "eyJ": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "ghp_": re.compile(r"ghp_[A-Za-z0-9]{20,}"),
+    "eyJ": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "-----BEGIN": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)?"),
 }
 
 
+_LONG = {
+    "sk-": (re.compile("sk-"), re.compile("[A-Za-z0-9_-]*"), 20), "xox": (re.compile("xox[abprs]-"), re.compile("[A-Za-z0-9-]*"), 10),
+    "AIza": (re.compile("AIza"), re.compile("[A-Za-z0-9_-]*"), 30),
+}
+
+
 def prefixed(text: str, at: int, cue: str) -> Finding | None:
     if at and text[at - 1].isalnum():
         return None
+    if cue in _LONG:
+        head, run, least = _LONG[cue]
+        found = head.match(text, at)
+        end = _run_end(run, text, found.end()) if found else 0
+        return (at, end, "secret") if found and end - found.end() >= least else None
     found = _PREFIXED[cue].match(text, at)
     return (at, found.end(), "secret") if found else None
 
@@ -249,7 +275,7 @@ def _automaton():
     for cue in ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key"):
         for form in {cue, cue.upper(), cue.capitalize()}:
             machine.add_word(form, (len(form), _cue(assigned, len(form))))
-    for cue in _PREFIXED:
+    for cue in (*_PREFIXED, *_LONG):
         machine.add_word(cue, (len(cue), _prefix(cue)))
     machine.make_automaton()
     return machine
