@@ -176,3 +176,13 @@ def test_in_spark(spark):
     with pytest.raises(RerankInputError):
         Reranker(Pairwise(), provider=raising)
     assert Reranker(Listwise(), provider=by_length).transform(spark.createDataFrame([], CANDIDATES)).count() == 0
+
+
+def test_registered_queries_take_texts_of_any_length(spark, tmp_path):
+    from windrose.plans import queries
+
+    docs = [(i, "alpha beta " + "x" * i) for i in range(3)] + [(9, "alpha beta gamma " + "y" * 1_000_001)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for query in (queries.provider_listwise, queries.provider_pairwise):
+        assert {r["doc_id"] for r in query(spark, str(tmp_path)).collect()} == {0, 1, 2, 9}

@@ -25,7 +25,8 @@ from windrose.operators.summary import METRICS, failure_histogram, nearest_rank,
 from windrose.storage import materialised
 
 DEPTH = 50
-LISTWISE_20 = Listwise(window_size=20, stride=10, max_document_chars=1_000_000)
+NO_LIMIT = 2**31 - 1
+LISTWISE_20 = Listwise(window_size=20, stride=10, max_document_chars=NO_LIMIT)
 PRICE = PriceConfig(2.5, 10.0)
 
 
@@ -294,7 +295,7 @@ def _provided(strategy: Strategy):
 
 
 provider_listwise = _provided(LISTWISE_20)
-provider_pairwise = _provided(Pairwise(passes=1, max_document_chars=1_000_000))
+provider_pairwise = _provided(Pairwise(passes=1, max_document_chars=NO_LIMIT))
 
 
 def parse_winner_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
