@@ -51,6 +51,13 @@ def test_features_prior_and_threshold_come_from_all_documents(spark):
     assert abs(model.prior - 2 / 3) < 0.1 and n >= model.prior * 3000 - 3
 
 
+def test_one_number_of_standard_errors_at_every_size():
+    for n in (200, 1_000, 10_000, 100_000):
+        for errors, kept in ((2.5, 0), (3.5, 1)):
+            apart = errors * np.sqrt(0.25 * 2 / n)
+            assert len(Q.select(n, np.array([(0.5 + apart / 2) * n]), n, np.array([(0.5 - apart / 2) * n]))) == kept
+
+
 def test_trusted_ids(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, 0), (4, 0, 0), (5, 1, None), (6, None, 0), (None, 1, 0)], LABELS)
     assert {r[0] for r in Q.trusted_ids(labels).collect()} == {1, 5, None}

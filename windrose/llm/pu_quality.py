@@ -45,6 +45,7 @@ _WORDS = 1 << BITS
 WIDTH = _WORDS + STEPS * SHARES
 POSITIVES = 12_000
 UNLABELLED = 24_000
+Z = 3.0
 
 
 def _share_table() -> np.ndarray:
@@ -172,9 +173,8 @@ class Model:
         return np.bincount(np.repeat(np.arange(len(of) - 1), np.diff(of)), dense[number], minlength=len(of) - 1) + self.bias
 
 
-def select(n_p: int, f_p: np.ndarray, n_u: int, f_u: np.ndarray, z: float | None = None) -> np.ndarray:
-    """The features whose frequencies differ; ``z``: by default 3 standard errors up to 1,000 positives, 4 from 10,000."""
-    z = 3 + np.clip(np.log10(n_p / 1000), 0, 1) if z is None else z
+def select(n_p: int, f_p: np.ndarray, n_u: int, f_u: np.ndarray, z: float = Z) -> np.ndarray:
+    """The features whose frequencies differ by more than ``z`` standard errors, whatever the number of documents."""
     f_p, f_u = f_p / n_p, f_u / n_u
     both = (f_p * n_p + f_u * n_u) / (n_p + n_u)
     error = np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
