@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, NullType, StructType
 
 #: Members of one group that a single output row may list; a larger group takes several rows.
 PART_ROWS = 100_000
@@ -65,6 +65,13 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def whole_ids(df: DataFrame, name: str) -> None:
+    """A ``TypeError`` where the ids in ``name`` aren't whole numbers, such as URLs: number them first."""
+    kind = df.select(col(name)).schema[0].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"{name} must hold whole numbers, not {kind.simpleString()}")
+
+
 def mapped(df: DataFrame, run, made: list[tuple[str, str]]) -> DataFrame:
     """``df`` through ``run`` in Arrow batches, which keep its columns in their order and are followed by ``made`` (name, type).
 

@@ -10,15 +10,20 @@ wherever the window is repeated: these minima are the guaranteed fingerprints. A
 loses at most ``_WIDE`` words at each end to lines it shares with its surroundings, so one of ``min_words`` + 2 ``_WIDE`` (50) words is always found;
 those words at its ends stay.
 
-1. one pass over the texts writes every document's line hashes, word counts and offsets (no text);
-2. each window's fingerprint is the smallest hash of two neighbouring lines in it (of the line, where it has one);
-   they are counted over the corpus, and those that occur once are dropped;
-3. around each repeated fingerprint the match is extended both ways, by the hash of each window holding it;
-4. windows that occur at an earlier (doc_id, position) are later repeats; their union is deleted.
+1. one pass over the texts finds each window's fingerprint, the smallest hash of two neighbouring lines in it, its content, a hash of
+   all its lines, and its place; of windows equal in both a task sends on the earliest only, as the others are later repeats for certain;
+2. places are joined by fingerprint; each brings the contents of the windows that reach from it both ways, which extend the match:
+   of windows equal in both all but the one at the smallest (doc_id, hash of the text, position) are later repeats;
+3. the union of a document's later repeats is deleted, in a second pass over the texts.
+
+A fingerprint and a content are told apart by 96 bits together, documents by their id and 64 bits of their text. A window that is everywhere
+comes once from each 2^19 windows of a task, so no group holds more rows than that many tasks; a task sorts its part of the
+windows in memory, whose size ``spark.sql.shuffle.partitions`` sets.
 
 Result: all rows and columns, with ``text`` replaced, ``stretches_removed`` and ``chars_removed``. Defined cases: a null text stays null; an empty text, or one
-without words, is unchanged; rows equal in doc_id and text are one document and are treated alike; null
-doc_ids come first in the order; input columns named like an output column are replaced.
+without words, is unchanged; the longest texts are searched whole; rows equal in doc_id and text are one document and are treated alike; null
+doc_ids come first in the order; ids that aren't whole numbers are refused; an empty table gives an empty one;
+input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -27,13 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrose.llm import _text
-from windrose.llm._common import col, fresh, others, written
+from windrose.llm._common import col, fresh, others, whole_ids
 
-_KEY_LOW = 16  # bits of a document's key that ride below a 48-bit fingerprint; 24 more follow in a column of their own
 MIN_WORDS = 24  # at most 255, as longer lines count as 255 words
 _WIDE = 13  # words of the longest line
 
@@ -108,137 +112,248 @@ def _minima(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return out
 
 
-def _steps(place: np.ndarray) -> bytes:
-    """Differences, the bytes of equal weight together, so that a codec sees the zeros."""
-    return np.diff(place, prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _places(blobs: list[bytes]) -> np.ndarray:
-    parts = [np.cumsum(np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel(), dtype=np.int32) for b in blobs]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
-
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    most = 255  # a longer line counts as so many words: enough for any window
-    for batch in batches:
-        data, offsets = _text.buffers(batch.column(2))
-        for a, b in _text.chunks(offsets):
-            part, of = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            hashes, words, at, lines = split_lines(part, of)
-            chars = np.zeros(len(part) + 1, np.int64)
-            np.cumsum((part & 0xC0) != 0x80, out=chars[1:])
-            place = (chars[at] - np.repeat(chars[of[:-1]], np.diff(lines))).astype(np.int32)
-            blobs = [x.tobytes() for x in (hashes, np.minimum(words, most).astype(np.uint8))]
-            cut = [pa.array([blob[i * w : j * w] for i, j in zip(lines[:-1], lines[1:])], pa.binary()) for blob, w in zip(blobs, (8, 1))]
-            cut.append(pa.array([_steps(place[i:j]) for i, j in zip(lines[:-1], lines[1:])], pa.binary()))
-            size = pa.array(np.diff(chars[of]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], size, *cut], ["doc_id", "k", "size", "hashes", "words", "places"])
-
-
-def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and word counts of the lines, and the n + 1 offsets of the documents into them."""
+#: Windows that a task gathers before it sends them on.
+_FLUSH = 1 << 19
+_NO_ID = -(1 << 63)  # stands for a null doc_id, which comes first
 
-    def flat(name: str, kind: type) -> np.ndarray:
-        column = batch.column(name)
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-        return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind), offsets
 
-    hashes, offsets = flat("hashes", np.uint64)
-    return hashes, flat("words", np.uint8)[0], (offsets - offsets[0]).astype(np.int64) // 8
+def _planes(x: np.ndarray) -> bytes:
+    """Four-byte numbers, the bytes of equal weight together, so that a codec sees the zeros."""
+    return x.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(b: np.ndarray) -> np.ndarray:
+    return b.reshape(4, -1).T.copy().view(np.int32).ravel()
+
+
+def _packed(parts: list[bytes]) -> bytes:
+    return np.array([len(p) for p in parts], np.int32).tobytes() + b"".join(parts)
+
+
+def _parts(blob: memoryview, n: int) -> list[np.ndarray]:
+    size = np.frombuffer(blob[: 4 * n], np.int32)
+    at = 4 * n + np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    return [np.frombuffer(blob[i:j], np.uint8) for i, j in zip(at[:-1], at[1:])]
+
+
+class _Found:
+    """Windows of some documents: by window its fingerprint, content, document, span in characters and anchor; by document its id and key."""
+
+    def __init__(self, ids, keys, doc, fp, content, start, upto, anchor) -> None:
+        self.ids, self.keys, self.doc, self.fp, self.content, self.start, self.upto, self.anchor = ids, keys, doc, fp, content, start, upto, anchor
+
+    @staticmethod
+    def join(parts: list[_Found]) -> _Found:
+        docs = np.concatenate(([0], np.cumsum([len(p.ids) for p in parts])))
+        anchors = np.concatenate(([0], np.cumsum([int(p.anchor.max(initial=-1)) + 1 for p in parts])))
+        doc = [p.doc + n for p, n in zip(parts, docs)]
+        anchor = [p.anchor + n for p, n in zip(parts, anchors)]
+        flat = {k: np.concatenate([getattr(p, k) for p in parts]) for k in ("ids", "keys", "fp", "content", "start", "upto")}
+        return _Found(doc=np.concatenate(doc), anchor=np.concatenate(anchor), **flat)
+
+    def in_order(self) -> None:
+        """Documents are put in their order, equal ones become one."""
+        order = np.lexsort((self.keys, self.ids))
+        ids, keys = self.ids[order], self.keys[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.cumsum(new) - 1
+        self.ids, self.keys, self.doc = ids[new], keys[new], rank[self.doc]
+
+    def earliest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows equal in fingerprint and content: the first, and those at another, later place."""
+        key = _text.mix(self.fp ^ (self.content.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        place = self.doc << 32 | self.start
+        order = np.lexsort((place, key))
+        fp, content, place = self.fp[order], self.content[order], place[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (fp[1:] != fp[:-1]) | (content[1:] != content[:-1])
+        first = place[new][np.cumsum(new) - 1]
+        return order[new], order[place != first]
+
+
+def _windows_of(data: np.ndarray, of: np.ndarray, ids: np.ndarray, keys: np.ndarray, least: int) -> _Found:
+    hashes, words, at, lines = split_lines(data, of)
+    start, end = _windows(np.minimum(words, 255), lines, least)
+    fp, anchor = _fingerprints(hashes, start, end)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _text._power(_text._BASE, len(hashes)), out=total[1:])
+    content = _text.mix((total[end + 1] - total[start]) * _text._power(_text._INVERSE, len(hashes))[start] + (end - start).astype(np.uint64)) if len(start) else fp
+    chars = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
+    doc = np.searchsorted(lines, start, "right") - 1
+    opens = chars[np.append(at, len(data))]
+    upto = np.where(end + 1 == lines[doc + 1], chars[of[doc + 1]], opens[end + 1])
+    named, doc_at = np.unique(doc, return_inverse=True)
+    base = chars[of[doc]]
+    _, anchor = np.unique(anchor, return_inverse=True)
+    return _Found(ids[named], keys[named], doc_at, fp, (content >> np.uint64(32)).astype(np.uint32), opens[start] - base, upto - base, anchor)
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of spans by document, in order."""
+    if not len(doc):
+        return doc, start, upto
+    order = np.argsort(doc << 32 | start)
+    doc, start = doc[order], start[order]
+    reach = np.maximum.accumulate(doc << 32 | upto[order])
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] << 32 | start[1:]) > reach[:-1]
+    last = np.append(np.flatnonzero(new)[1:], len(doc)) - 1
+    return doc[new], start[new], reach[last] & 0xFFFFFFFF
+
+
+def _docs_of(*docs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    named = np.unique(np.concatenate(docs))
+    return named, [np.searchsorted(named, d) for d in docs]
+
+
+def _batch(target: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(target, pa.int32()), pa.array(blobs, pa.binary())], ["target", "blob"])
+
+
+def _sent(found: _Found, targets: int) -> Iterator[pa.RecordBatch]:
+    """A blob for each target: the earliest of equal windows here, by anchor, and the spans of the others, which are later repeats for certain."""
+    found.in_order()
+    first, later = found.earliest()
+    target = (_text.mix(found.fp) % np.uint64(targets)).astype(np.int64)
+    first = first[np.lexsort((found.start[first], found.anchor[first], target[first]))]
+    later = later[np.argsort(target[later], kind="stable")]
+    cut = [np.searchsorted(target[x], np.arange(targets + 1)) for x in (first, later)]
+    for t in np.unique(np.concatenate((target[first], target[later]))):
+        f, g = (x[c[t] : c[t + 1]] for x, c in zip((first, later), cut))
+        new = np.ones(len(f), bool)
+        new[1:] = found.anchor[f][1:] != found.anchor[f][:-1]
+        a = f[new]
+        base = found.start[a]
+        count = np.diff(np.append(np.flatnonzero(new), len(f)))
+        gone, gone_start, gone_upto = _merged(found.doc[g], found.start[g], found.upto[g])
+        named, (doc, gone) = _docs_of(found.doc[a], gone)
+        ids = found.ids[named]
+        parts = [
+            np.diff(ids, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), found.keys[named].tobytes(),
+            found.fp[a].tobytes(), _planes(np.diff(doc, prepend=0)), _planes(base), _planes(count),
+            found.content[f].tobytes(), _planes(found.start[f] - np.repeat(base, count)), _planes(found.upto[f] - found.start[f]),
+            _planes(np.diff(gone, prepend=0)), _planes(gone_start), _planes(gone_upto - gone_start),
+        ]
+        yield _batch([t], [_packed(parts)])
+
+
+def _ids(b: np.ndarray) -> np.ndarray:
+    return np.cumsum(b.reshape(8, -1).T.copy().view(np.int64).ravel(), dtype=np.int64)
+
+
+def _anchored(least: int, targets: int):
+    """Documents to the windows that each target gets."""
 
-
-def _anchors(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            hashes, words, of = _unpacked(batch)
-            start, end = _windows(words, of, least)
-            value, place = _fingerprints(hashes, start, end)
-            _, first = np.unique(place, return_index=True)
-            keys = batch.column("k").to_numpy()[np.searchsorted(of, start[first], "right") - 1].view(np.uint64)
-            packed = value[first] >> np.uint64(_KEY_LOW) << np.uint64(_KEY_LOW) | keys & np.uint64((1 << _KEY_LOW) - 1)
-            rest = (keys >> np.uint64(_KEY_LOW) & np.uint64(0xFFFFFF)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(rest)], ["packed", "rest"])
+            data, offsets = _text.buffers(batch.column(2))
+            ids, keys = (batch.column(i).to_numpy() for i in (0, 1))
+            for a, b in _text.chunks(offsets):
+                held.append(_windows_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ids[a:b], keys[a:b], least))
+                n += len(held[-1].fp)
+                if n >= _FLUSH:
+                    yield from _sent(_Found.join(held), targets)
+                    held, n = [], 0
+        if n:
+            yield from _sent(_Found.join(held), targets)
 
     return run
 
 
-def _extended(least: int):
+def _joined(targets: int):
+    """The windows of a target, joined by fingerprint and extended by content: the later ones' spans, to the targets of their documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = [], []
         for batch in batches:
-            if not len(batch):
-                continue
-            hashes, words, of = _unpacked(batch)
-            places = _places(batch.column("places").to_pylist())
-            start, end = _windows(words, of, least)
-            doc = np.searchsorted(of, start, "right") - 1
-            low = (_fingerprints(hashes, start, end)[0] >> np.uint64(_KEY_LOW) & np.uint64(0x7FFFFFFF)).astype(np.int64)
-            fps = batch.column("fps")
-            size = np.diff(np.frombuffer(fps.buffers()[1], np.int32)[fps.offset : fps.offset + len(fps) + 1])
-            wanted = np.repeat(np.arange(len(fps)), size) << 31 | fps.flatten().to_numpy()
-            hit = np.flatnonzero(np.isin(doc << 31 | low, wanted))
-            start, end, doc, low = start[hit], end[hit], doc[hit], low[hit]
-            base, inverse = _text._power(_text._BASE, len(hashes)), _text._power(_text._INVERSE, len(hashes))
-            total = np.zeros(len(hashes) + 1, np.uint64)
-            np.cumsum(hashes * base, out=total[1:])
-            content = _text.mix((total[end + 1] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-            sizes = batch.column("size").to_numpy()
-            upto = np.append(places, np.int32(0))[end + 1]
-            final = end + 1 == of[doc + 1]
-            upto[final] = sizes[doc[final]]
-            span = places[start].astype(np.int64) << 32 | upto
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((low & 0xFFFFFF).astype(np.int32)), pa.array(content.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array(batch.column("k").to_numpy()[doc]), pa.array(span)],
-                ["fp", "content", "doc_id", "k", "span"],
-            )
+            for blob in batch.column(1):
+                ids, keys, fp, doc, base, count, content, start, size, gone, gone_start, gone_size = _parts(blob.as_buffer(), 12)
+                ids, keys, doc, count = _ids(ids), keys.view(np.int64), np.cumsum(_from_planes(doc), dtype=np.int64), _from_planes(count)
+                anchor = np.repeat(np.arange(len(doc)), count)
+                start = _from_planes(start).astype(np.int64) + _from_planes(base)[anchor]
+                held.append(_Found(ids, keys, doc[anchor], fp.view(np.uint64)[anchor], content.view(np.uint32), start, start + _from_planes(size), anchor))
+                gone, gone_start = np.cumsum(_from_planes(gone), dtype=np.int64), _from_planes(gone_start).astype(np.int64)
+                known.append((gone, gone_start, gone_start + _from_planes(gone_size), len(ids)))
+        if not held:
+            return
+        shift = np.concatenate(([0], np.cumsum([k[3] for k in known])))
+        gone = np.concatenate([k[0] + n for k, n in zip(known, shift)])
+        spans = [np.concatenate([k[i] for k in known]) for i in (1, 2)]
+        found = _Found.join(held)
+        held.clear()
+        raw = np.arange(len(found.ids))
+        named = _Found(found.ids, found.keys, raw, raw, raw, raw, raw, raw)
+        named.in_order()
+        found.in_order()
+        _, later = found.earliest()
+        doc, start, upto = _merged(np.concatenate((found.doc[later], named.doc[gone])), np.concatenate((found.start[later], spans[0])), np.concatenate((found.upto[later], spans[1])))
+        target = (found.keys[doc].view(np.uint64) % np.uint64(targets)).astype(np.int64)
+        order = np.argsort(target, kind="stable")
+        cut = np.searchsorted(target[order], np.arange(targets + 1))
+        for t in np.unique(target):
+            x = order[cut[t] : cut[t + 1]]
+            mine, (at,) = _docs_of(doc[x])
+            yield _batch([t], [_packed([found.ids[mine].tobytes(), found.keys[mine].tobytes(), _planes(np.diff(at, prepend=0)), _planes(start[x]), _planes(upto[x] - start[x])])])
 
     return run
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By document the union of its spans."""
+    held = []
+    for batch in batches:
+        for blob in batch.column(1):
+            ids, keys, doc, start, size = _parts(blob.as_buffer(), 5)
+            start = _from_planes(start).astype(np.int64)
+            doc, none = np.cumsum(_from_planes(doc), dtype=np.int64), np.zeros(0, np.int64)
+            held.append(_Found(ids.view(np.int64), keys.view(np.int64), doc, none, none, start, start + _from_planes(size), none))
+    if not held:
+        return
+    found = _Found.join(held)
+    found.in_order()
+    doc, start, upto = _merged(found.doc, found.start, found.upto)
+    at = np.searchsorted(doc, np.arange(len(found.ids) + 1)).astype(np.int32)
+    spans = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(upto.astype(np.int32))], ["start", "upto"])
+    for i in range(0, len(found.ids), 10_000):
+        j = min(i + 10_000, len(found.ids))
+        ranges = pa.ListArray.from_arrays(pa.array(at[i : j + 1] - at[i]), spans[at[i] : at[j]])
+        yield pa.RecordBatch.from_arrays([pa.array(found.ids[i:j]), pa.array(found.keys[i:j]), ranges], ["id", "k", "ranges"])
+
+
+def _identity(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
+    """What stands for a document: its id, and a hash of id and text."""
+    return [F.coalesce(col(doc_id).cast("bigint"), F.lit(_NO_ID)), F.xxhash64(col(doc_id), col(text))]
+
+
 def repeated_ranges(docs: DataFrame, min_words: int = MIN_WORDS, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, ranges): the stretches to delete of each document that has any, as [start, upto) in characters, disjoint and in order."""
+    """(id, k, ranges): the stretches to delete of each document that has any, as [start, upto) in characters, disjoint and in order.
+
+    ``id`` is the doc_id, or the smallest bigint where that is null; ``k`` a hash of doc_id and text.
+    """
     if not 1 <= min_words <= 255:
         raise ValueError("min_words must be from 1 to 255")
-    k = F.xxhash64(col(doc_id), col(text))
-    source = docs.where(col(text).isNotNull()).select(col(doc_id).cast("bigint").alias("doc_id"), k.alias("k"), col(text).alias("text"))
-    lines = written(
-        source.mapInArrow(_lines, "doc_id bigint, k bigint, size int, hashes binary, words binary, places binary"), "lines"
-    )
-    value = F.coalesce(F.shiftrightunsigned("packed", _KEY_LOW), F.lit(0))
-    marks = lines.mapInArrow(_anchors(min_words), "packed bigint, rest int").repartition(value).withColumn("fp", value)
-    # Counting ``rest`` keeps both uses on the same columns, so that they share one exchange; so do keys that can't be null.
-    often = marks.groupBy("fp").agg(F.count("rest").alias("n")).where("n > 1").select("fp")
-    short = F.col("fp").bitwiseAND(0x7FFFFFFF).cast("int")
-    part = F.coalesce(F.shiftleft(F.col("rest").cast("bigint"), _KEY_LOW).bitwiseOR(F.col("packed").bitwiseAND((1 << _KEY_LOW) - 1)), F.lit(0))
-    hits = marks.join(often.hint("shuffle_hash"), "fp").groupBy(part.alias("part")).agg(F.collect_set(short).alias("fps"))
-    # Documents are found by 40 bits of their key: one that shares them gets fingerprints too many, which find nothing in it.
-    own = lines.withColumn("part", F.col("k").bitwiseAND((1 << (24 + _KEY_LOW)) - 1)).repartition("part").dropDuplicates(["part", "k"])
-    windows = own.join(hits, "part").drop("part").mapInArrow(_extended(min_words), "fp int, content bigint, doc_id bigint, k bigint, span bigint")
-    windows = windows.repartition("fp", "content")
-    place = F.struct("doc_id", "k", "span")
-    first = windows.groupBy("fp", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(first.hint("shuffle_hash"), ["fp", "content"]).where(place > F.col("first"))
-    spans = F.transform(F.array_sort(F.collect_set("span")), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("start"), x.bitwiseAND(0x7FFFFFFF).cast("int").alias("upto")))
-    ranges = later.groupBy(F.coalesce("k", F.lit(0)).alias("k")).agg(spans.alias("r"))
-    empty = F.array().cast("array<struct<start:int,upto:int>>")
-    joined = F.aggregate(
-        "r", empty,
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["upto"] >= x["start"]),
-            F.concat(
-                F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(F.struct(F.try_element_at(done, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(done, F.lit(-1))["upto"], x["upto"]).alias("upto"))),
-            ),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
-    return ranges.select("k", joined.alias("ranges"))
+    whole_ids(docs, doc_id)
+    targets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    i, k = _identity(docs, doc_id, text)
+    source = docs.where(col(text).isNotNull()).select(i.alias("id"), k.alias("k"), col(text).alias("text"))
+    blobs = "target int, blob binary"
+    anchored = source.mapInArrow(_anchored(min_words, targets), blobs).repartitionById(targets, "target")
+    spans = anchored.mapInArrow(_joined(targets), blobs).repartitionById(targets, "target")
+    return spans.mapInArrow(_united, "id bigint, k bigint, ranges array<struct<start:int,upto:int>>")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without later repeats of runs of at least ``min_words`` words; see the module's text."""
     names = others(docs, "stretches_removed", "chars_removed")
-    key, found, ranges = fresh(docs, "k", "found", "ranges")
-    cuts = repeated_ranges(docs, min_words, doc_id=doc_id, text=text).select(F.col("k").alias(found), F.col("ranges").alias(ranges))
-    joined = docs.select(*map(col, names), F.xxhash64(col(doc_id), col(text)).alias(key)).join(cuts.hint("shuffle_hash"), F.col(key) == F.col(found), "left")
+    one, key, found, with_key, ranges = fresh(docs, "id", "k", "found", "with_key", "ranges")
+    cuts = repeated_ranges(docs, min_words, doc_id=doc_id, text=text).toDF(found, with_key, ranges)
+    i, k = _identity(docs, doc_id, text)
+    same = (F.col(one) == F.col(found)) & (F.col(key) == F.col(with_key))
+    joined = docs.select(*map(col, names), i.alias(one), k.alias(key)).join(cuts.hint("shuffle_hash"), same, "left")
     r = F.col(ranges)
     starts = F.concat(F.array(F.lit(0)), F.transform(r, lambda x: x["upto"]))
     ends = F.concat(F.transform(r, lambda x: x["start"]), F.array(F.lit(2**31 - 1)))
