@@ -79,6 +79,21 @@ def test_quality(spark):
     assert sum(d in kept for d in good) >= 0.95 * len(good)
 
 
+def test_quality_holds_on_labels_it_never_saw(spark, tmp_path):
+    """Half of the good labels train; the other half stay, and far more of the labelled junk goes than of them."""
+    from windrose.llm.pu_quality import accepted, train, trusted_ids
+
+    larger = SF.replace("0.001", "0.1")
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    labels = spark.read.parquet(f"{larger}/labels.parquet")
+    kept = {r[0] for r in accepted(docs, train(docs, trusted_ids(labels.where("doc_id % 2 = 0"))), columns=["doc_id"]).collect()}
+    held = {d: (q, t) for d, q, t in map(tuple, labels.where("doc_id % 2 = 1").collect())}
+    good = [d in kept for d, x in held.items() if x == (1, 0)]
+    bad = [d in kept for d, x in held.items() if x[0] == 0]
+    print("held-out good kept", sum(good), len(good), "bad kept", sum(bad), len(bad))
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.5 * len(bad)
+
+
 def test_media(spark):
     from tests.llm.test_progressive_jpeg import direct
     from windrose.llm.progressive_jpeg import thumbnail

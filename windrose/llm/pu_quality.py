@@ -17,11 +17,16 @@ than p times its share of the positives unless bad documents are in it.
 
 Feature counts, the prior's shares above its thresholds and the quantile that sets the threshold are sums over all documents (the prior's without those its
 first classifier was fitted to); all documents are written once as rows over the kept features. Of trusted documents at most ``positives`` count, and the gradient
-takes at most ``unlabelled`` of the others, the first by a hash of their id. It runs in one task; the driver receives sums and the model only.
+takes at most ``unlabelled`` of the others, the first by a hash of their id; rows that share an id count once in both. It runs in one task; the driver receives
+sums and the model only.
+
+The risk sets the weights; the threshold it implies (score plus bias above 0) isn't used as it is: with the logistic loss and features that separate well the risk is flat in the bias, and
+what it would reject follows the number of steps. The threshold is the score that the estimated share of good documents among all is above, or the one that ``keep`` of the
+trusted positives are above, whichever accepts more.
 
 Defined cases: a null text, or one without words, scores as the empty feature set plus the bias; documents without a label are
 unlabelled; of several labels of a document it counts as trusted if all say so; with no trusted positive nothing is learnt and
-all is accepted; rows that repeat are scored alike; input columns are passed on, and one called ``quality_score`` is replaced.
+all is accepted; rows that repeat are scored alike; the longest texts are read whole; an empty table gives an empty one; ids that aren't whole numbers are refused; input columns are passed on, and one called ``quality_score`` is replaced.
 """
 
 from __future__ import annotations
@@ -30,18 +35,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrose.llm import _text
-from windrose.llm._common import col, mapped, others, written
+from windrose.llm._common import col, mapped, others, whole_ids, written
 
 BITS = 18
 STEPS = 16
 SHARES = 6
 _WORDS = 1 << BITS
+_BLOCK = 1 << 19  # entries of a block of rows
 WIDTH = _WORDS + STEPS * SHARES
 POSITIVES = 12_000
 UNLABELLED = 24_000
@@ -94,37 +99,39 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = _text.buffers(batch.column(1))
+        data, offsets = _text.buffers(batch.column(0))
         for a, b in _text.chunks(offsets):
             number, of = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            rows = pa.array([number[i:j].astype(np.int32).tobytes() for i, j in zip(of[:-1], of[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], rows], ["trusted", "features"])
+            yield pa.RecordBatch.from_arrays([_blobs(number, of)], ["features"])
 
 
 class Sparse:
-    """0/1 rows over the kept features."""
+    """0/1 rows over the kept features, worked on in blocks, so that only the 4-byte numbers are held whole."""
 
     def __init__(self, number: np.ndarray, of: np.ndarray, width: int) -> None:
-        self.number, self.of, self.width = number, of, width
-        self.row = np.repeat(np.arange(len(of) - 1), np.diff(of))
+        self.number, self.of, self.width = number.astype(np.int32, copy=False), of, width
+        cuts, at = [0], 0
+        while at < len(of) - 1:
+            at = max(int(np.searchsorted(of, of[at] + _BLOCK, "right")) - 1, at + 1)
+            cuts.append(at)
+        self.blocks = list(zip(cuts[:-1], cuts[1:]))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.number], minlength=len(self.of) - 1)
+        out = np.zeros(len(self.of) - 1)
+        for a, b in self.blocks:
+            row = np.repeat(np.arange(b - a), np.diff(self.of[a : b + 1]))
+            out[a:b] = np.bincount(row, w[self.number[self.of[a] : self.of[b]]], minlength=b - a)
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.number, g[self.row], minlength=self.width)
-
-    def every_other(self, first: int) -> Sparse:
-        mine = self.row % 2 == first
-        size = np.diff(self.of)[first::2]
-        return Sparse(self.number[mine], np.concatenate(([0], np.cumsum(size))), self.width)
+        out = np.zeros(self.width)
+        for a, b in self.blocks:
+            out += np.bincount(self.number[self.of[a] : self.of[b]], np.repeat(g[a:b], np.diff(self.of[a : b + 1])), minlength=self.width)
+        return out
 
-    def only(self, keep: np.ndarray) -> Sparse:
-        place = np.full(self.width, -1)
-        place[keep] = np.arange(len(keep))
-        number = place[self.number]
-        size = np.bincount(self.row, number >= 0, minlength=len(self.of) - 1).astype(np.int64)
-        return Sparse(number[number >= 0], np.concatenate(([0], np.cumsum(size))), len(keep))
+    def rows(self, mine: np.ndarray) -> Sparse:
+        size = np.diff(self.of)
+        return Sparse(self.number[np.repeat(mine, size)], np.concatenate(([0], np.cumsum(size[mine]))), self.width)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -192,26 +199,48 @@ def contrast(x_p: Sparse, x_u: Sparse, *, steps: int = 100, rate: float = 0.05,
     return _adam(gradient, x_p.width + 1, steps, rate)
 
 
+def risk(w: np.ndarray, x_p: Sparse, x_u: Sparse, prior: float, decay: float = 1e-4) -> tuple[float, float]:
+    """The two terms of the non-negative risk for weights and bias, the second before it is cut off at 0; the first with the decay of the weights."""
+    s_p, s_u = x_p.dot(w[:-1]) + w[-1], x_u.dot(w[:-1]) + w[-1]
+    positive = prior * np.logaddexp(0, -s_p).mean() + decay / 2 * float(w[:-1] @ w[:-1])
+    return float(positive), float(np.logaddexp(0, s_u).mean() - prior * np.logaddexp(0, s_p).mean())
+
+
+def risk_gradient(w: np.ndarray, x_p: Sparse, x_u: Sparse, prior: float, decay: float = 1e-4) -> np.ndarray:
+    """The risk's gradient; where its second term is negative, the reversed gradient of that term."""
+    n_p, n_u = len(x_p.of) - 1, len(x_u.of) - 1
+    s_p, s_u = x_p.dot(w[:-1]) + w[-1], x_u.dot(w[:-1]) + w[-1]
+    negative = np.logaddexp(0, s_u).mean() - prior * np.logaddexp(0, s_p).mean()
+    down_p, up_p, up_u = -_sigmoid(-s_p) / n_p, _sigmoid(s_p) / n_p, _sigmoid(s_u) / n_u
+    if negative >= 0:
+        g_p, g_u = prior * down_p - prior * up_p, up_u
+    else:
+        g_p, g_u = prior * up_p, -up_u
+    return np.append(x_p.back(g_p) + x_u.back(g_u) + decay * w[:-1], g_p.sum() + g_u.sum())
+
+
 def fit(x_p: Sparse, x_u: Sparse, prior: float, *, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
     """Weights and bias of the least non-negative risk."""
-    n_p, n_u = len(x_p.of) - 1, len(x_u.of) - 1
+    return _adam(lambda w: risk_gradient(w, x_p, x_u, prior, decay), x_p.width + 1, steps, rate)
 
-    def gradient(w: np.ndarray) -> np.ndarray:
-        s_p, s_u = x_p.dot(w[:-1]) + w[-1], x_u.dot(w[:-1]) + w[-1]
-        negative = np.logaddexp(0, s_u).mean() - prior * np.logaddexp(0, s_p).mean()
-        down_p, up_p, up_u = -_sigmoid(-s_p) / n_p, _sigmoid(s_p) / n_p, _sigmoid(s_u) / n_u
-        if negative >= 0:
-            g_p, g_u = prior * down_p - prior * up_p, up_u
-        else:
-            g_p, g_u = prior * up_p, -up_u
-        return np.append(x_p.back(g_p) + x_u.back(g_u) + decay * w[:-1], g_p.sum() + g_u.sum())
 
-    return _adam(gradient, x_p.width + 1, steps, rate)
+def _rows(blobs: pa.Array, width: int) -> Sparse:
+    """Rows of a binary column of 4-byte feature numbers; a null has none."""
+    blobs = blobs.cast(pa.large_binary()).fill_null(b"") if blobs.null_count else blobs.cast(pa.large_binary())
+    _, where, what = blobs.buffers()
+    if where is None or not len(blobs):
+        return Sparse(np.zeros(0, np.int32), np.zeros(1, np.int64), width)
+    of = np.frombuffer(where, np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+    number = np.frombuffer(what, np.uint8)[of[0] : of[-1]] if what is not None else np.zeros(0, np.uint8)
+    return Sparse(number.view(np.int32), (of - of[0]) // 4, width)
 
 
-def _rows(blobs: list[bytes], width: int) -> Sparse:
-    of = np.concatenate(([0], np.cumsum([len(b) // 4 for b in blobs]))).astype(np.int64)
-    return Sparse(np.frombuffer(b"".join(blobs), np.int32).astype(np.int64), of, width)
+def _blobs(number: np.ndarray, of: np.ndarray) -> pa.Array:
+    number = np.ascontiguousarray(number, np.int32)
+    offsets = (of - of[0]).astype(np.int64) * 4
+    if offsets[-1] < 1 << 31:
+        return pa.Array.from_buffers(pa.binary(), len(of) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(number)])
+    return pa.array([number[i:j].tobytes() for i, j in zip(of[:-1], of[1:])], pa.binary())
 
 
 def _summed(df: DataFrame, tally, size: int) -> np.ndarray:
@@ -241,27 +270,48 @@ def _text_tally(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _row_tally(batch: pa.RecordBatch) -> np.ndarray:
-    rows = _rows(batch.column(0).to_pylist(), WIDTH)
+    rows = _rows(batch.column(0), WIDTH)
     return np.append(np.bincount(rows.number, minlength=WIDTH), len(batch))
 
 
-def _reduced(kept: np.ndarray):
-    """Texts as rows over the kept features."""
+def _only(number: np.ndarray, of: np.ndarray, place: np.ndarray) -> pa.Array:
+    number = place[number]
+    inside = number >= 0
+    return _blobs(number[inside], np.concatenate(([0], np.cumsum(inside)))[of])
+
+
+def _place(kept: np.ndarray) -> np.ndarray:
     place = np.full(WIDTH, -1, np.int32)
     place[kept] = np.arange(len(kept))
+    return place
+
+
+def _reduced(kept: np.ndarray):
+    """Texts as rows over the kept features."""
+    place = _place(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _text.buffers(batch.column(1))
             for a, b in _text.chunks(offsets):
-                number, of = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                number = place[number]
-                rows = pa.array([(x := number[i:j])[x >= 0].tobytes() for i, j in zip(of[:-1], of[1:])], pa.binary())
+                rows = _only(*features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), place)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], rows], ["h", "features"])
 
     return run
 
 
+def _narrowed(kept: np.ndarray):
+    """Rows over all features to rows over the kept ones, without an ``h``."""
+    place = _place(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _rows(batch.column(0), WIDTH)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), _only(rows.number, rows.of, place)], ["h", "features"])
+
+    return run
+
+
 def _above(w: np.ndarray, thresholds: np.ndarray, sampled: int):
     """How many held-out documents score no less than each threshold, and how many there are; those with an even ``h`` up to ``sampled`` were fitted to."""
 
@@ -269,7 +319,7 @@ def _above(w: np.ndarray, thresholds: np.ndarray, sampled: int):
         h = batch.column(0)
         fitted = h.fill_null(1).to_numpy()
         fitted = (fitted <= sampled) & (fitted % 2 == 0)
-        scores = np.sort(_rows(batch.column(1).to_pylist(), len(w) - 1).dot(w[:-1])[~fitted])
+        scores = np.sort(_rows(batch.column(1), len(w) - 1).dot(w[:-1])[~fitted])
         return np.append(len(scores) - np.searchsorted(scores, thresholds), len(scores))
 
     return tally
@@ -283,7 +333,7 @@ def _quantile(rows: DataFrame, w: np.ndarray, share: float) -> float:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step, n = np.unique(np.floor(_rows(batch.column(0).to_pylist(), len(w) - 1).dot(w[:-1]) * _FINE).astype(np.int64), return_counts=True)
+            step, n = np.unique(np.floor(_rows(batch.column(0), len(w) - 1).dot(w[:-1]) * _FINE).astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n)], ["step", "n"])
 
     got = rows.select("features").mapInArrow(run, "step bigint, n bigint").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").toArrow()
@@ -298,15 +348,16 @@ def train(
 
     ``positives`` bounds the trusted documents, ``unlabelled`` those whose gradient is taken; ``keep``: the least share of the positives that the threshold accepts.
     """
+    whole_ids(docs, doc_id)
     source = docs.where(col(text).isNotNull()).select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text"))
     ids = trusted.select(col(trusted.columns[0]).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
     order, h = F.xxhash64(F.lit("fit"), "doc_id"), F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit("unlabelled"), "doc_id"))
     # Ids alone choose the sample; then only its texts are read on.
     good = F.broadcast(ids.join(source.select("doc_id"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(positives))
-    first = source.join(good, "doc_id").select(F.lit(True).alias("trusted"), "text")
-    some = written(first.mapInArrow(_featurised, "trusted boolean, features binary").select("features"), "trusted")
+    first = source.join(good, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    some = written(first.select("text").mapInArrow(_featurised, "features binary"), "trusted")
     of_p = _summed(some, _row_tally, WIDTH + 1)
-    sampled = source.select(h.alias("h")).where("h is not null").orderBy("h").limit(unlabelled).agg(F.max("h")).first()[0]
+    sampled = source.select(h.alias("h")).where("h is not null").distinct().orderBy("h").limit(unlabelled).agg(F.max("h")).first()[0]
     n_p = int(of_p[-1])
     if not n_p or sampled is None:
         return Model()
@@ -314,34 +365,37 @@ def train(
     kept = select(n_p, of_p[:-1], int(of_u[-1]), of_u[:-1])
     width = len(kept)
     everything = written(source.select(h.alias("h"), "text").mapInArrow(_reduced(kept), "h bigint, features binary"), "quality")
-    sample = some.select(F.lit(None).cast("bigint").alias("h"), "features").unionByName(everything.where(F.col("h") <= sampled))
+    sample = some.mapInArrow(_narrowed(kept), "h bigint, features binary").unionByName(everything.where(F.col("h") <= sampled).groupBy("h").agg(F.min("features").alias("features")))
 
-    def parts(part: pd.DataFrame) -> tuple[Sparse, Sparse, np.ndarray]:
-        mask, blobs = part["h"].isna().to_numpy(), part["features"].map(bytes)
-        even = part["h"][~mask].to_numpy().astype(np.int64) % 2 == 0
-        return _rows(list(blobs[mask]), WIDTH).only(kept), blobs[~mask], even
+    def parts(table: pa.Table) -> tuple[Sparse, Sparse, np.ndarray]:
+        """Trusted and unlabelled rows, and which of the latter have an even ``h``."""
+        hashed, rows = table.column("h").combine_chunks(), table.column("features").combine_chunks()
+        mask = hashed.is_null().to_numpy(zero_copy_only=False)
+        every = _rows(rows, width)
+        return every.rows(mask), every.rows(~mask), hashed.drop_null().to_numpy() % 2 == 0
 
-    def halves(part: pd.DataFrame) -> pd.DataFrame:
-        x_p, blobs, even = parts(part)
+    def halves(table: pa.Table) -> pa.Table:
+        x_p, x_u, even = parts(table)
         if n_p < 2 or not even.any():
-            return pd.DataFrame({"w": [None], "held": [None]})
-        w = contrast(x_p.every_other(0), _rows(list(blobs[even]), width))
-        return pd.DataFrame({"w": [w.tobytes()], "held": [x_p.every_other(1).dot(w[:-1]).tobytes()]})
+            return pa.table({"w": pa.array([None], pa.binary()), "held": pa.array([None], pa.binary())})
+        first = np.arange(len(x_p.of) - 1) % 2 == 0
+        w = contrast(x_p.rows(first), x_u.rows(even))
+        return pa.table({"w": [w.tobytes()], "held": [x_p.rows(~first).dot(w[:-1]).tobytes()]})
 
-    def whole(part: pd.DataFrame) -> pd.DataFrame:
-        x_p, blobs, _ = parts(part)
-        w = fit(x_p, _rows(list(blobs), width), prior)
-        return pd.DataFrame({"w": [w.tobytes()], "cut": [float(np.quantile(x_p.dot(w[:-1]), 1 - keep))]})
+    def whole(table: pa.Table) -> pa.Table:
+        x_p, x_u, _ = parts(table)
+        w = fit(x_p, x_u, prior)
+        return pa.table({"w": [w.tobytes()], "cut": [float(np.quantile(x_p.dot(w[:-1]), 1 - keep))]})
 
     prior = 0.5
-    got = sample.groupBy().applyInPandas(halves, "w binary, held binary").first()
+    got = sample.groupBy().applyInArrow(halves, "w binary, held binary").first()
     if got["w"] is not None:
         held = np.frombuffer(bytes(got["held"]))
         at = _thresholds(held)
         above = _summed(everything, _above(np.frombuffer(bytes(got["w"])), at, sampled), len(at) + 1)
         if above[-1]:
             prior = _least_ratio(held, at, above[:-1], int(above[-1]))
-    got = sample.groupBy().applyInPandas(whole, "w binary, cut double").first()
+    got = sample.groupBy().applyInArrow(whole, "w binary, cut double").first()
     w = np.frombuffer(bytes(got["w"]))
     # Where the risk is flat the bias is not determined: the accepted share of all documents is the prior, and trusted texts stay.
     cut = min(_quantile(everything, w, 1 - prior), got["cut"])
