@@ -16,12 +16,16 @@ PART_ROWS = 100_000
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
-    The session names it in ``spark.checkpoint.dir``; where nobody did (tests), a temporary folder is set.
+    The session names it in ``spark.checkpoint.dir``; where nobody did and all runs on one machine (tests), a temporary folder is set.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="windrose-checkpoint-")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="windrose-checkpoint-")
         sc.setCheckpointDir(named)
         current = sc.getCheckpointDir()
     return current
@@ -34,13 +38,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
+    """``df`` written as Parquet to the shared folder and read again; ``discard`` deletes its files."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``written`` made and nothing will read again."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that no column of ``df`` has, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

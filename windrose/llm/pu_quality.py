@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrose.llm import _text
-from windrose.llm._common import col, mapped, others, whole_ids, written
+from windrose.llm._common import col, discard, mapped, others, whole_ids, written
 
 BITS = 18
 STEPS = 16
@@ -360,6 +360,7 @@ def train(
     sampled = source.select(h.alias("h")).where("h is not null").distinct().orderBy("h").limit(unlabelled).agg(F.max("h")).first()[0]
     n_p = int(of_p[-1])
     if not n_p or sampled is None:
+        discard(some)
         return Model()
     of_u = _summed(source.select("text"), _text_tally, WIDTH + 1)
     kept = select(n_p, of_p[:-1], int(of_u[-1]), of_u[:-1])
@@ -399,6 +400,7 @@ def train(
     w = np.frombuffer(bytes(got["w"]))
     # Where the risk is flat the bias is not determined: the accepted share of all documents is the prior, and trusted texts stay.
     cut = min(_quantile(everything, w, 1 - prior), got["cut"])
+    discard(some, everything)
     return Model(kept, w[:-1], float(-np.nextafter(cut, -np.inf)), prior)
 
 
