@@ -61,3 +61,29 @@ def test_candidate_operators(spark, samples):
     done = pairs.where("method = 'm'")
     assert pairs.count() == 4 and C.pending(pairs, done, ["task", "split", "query_id", "method"]).count() == 2
     assert C.scope(samples, 2).count() == 4
+
+
+def test_the_joined_first_stage_has_the_same_rows(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, None if i == 7 else " ".join(rng.choices(words, k=rng.randrange(0, 12))) + " É!") for i in range(400)]
+    asked = [(i, " ".join(rng.sample(words, rng.randrange(1, 4)))) for i in range(25)] + [(99, "..."), (98, None)]
+    corpus, queries = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), spark.createDataFrame(asked, "query_id int, query string")
+
+    def both():
+        found = C.matches(queries, corpus, 4)
+        return {tuple(r) for r in C.best_matches(found, 4).collect()}, {tuple(r) for r in found.where("full").collect()}
+
+    monkeypatch.setattr(C, "_GATHERED", 100)
+    by_index = both()
+    monkeypatch.setattr(C, "INDEX_PAIRS", 0)
+    assert by_index == both() and by_index[0] and by_index[1]
+    sets = {i: {*t.lower().split()} & {*words} for i, t in docs if t}
+    for q, text in asked[:25]:
+        want = sorted(((-len({*text.split()} & s), d) for d, s in sets.items() if {*text.split()} & s))[:4]
+        assert [(-r[2], r[1]) for r in sorted((r for r in by_index[0] if r[0] == q), key=lambda r: r[5])] == want
+    names = spark.createDataFrame([("b", "x y"), ("a", "x y"), ("c", "x")], "doc_id string, text string")
+    monkeypatch.setattr(C, "INDEX_PAIRS", 100)
+    assert [r["doc_id"] for r in C.first_stage(spark.createDataFrame([("q", "x y")], "query_id string, query string"), names, 2).orderBy("original_index").collect()] == ["a", "b"]

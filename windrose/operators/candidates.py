@@ -3,32 +3,145 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from windrose.functions.scalar import stable_seed, tokens
 
+_TOKEN = re.compile("[a-z0-9]+")
+
+
+#: (query, token) pairs up to which the queries' index goes to every task; a larger set of queries is joined instead.
+INDEX_PAIRS = 2_000_000
+#: Pairs of query and document that a task gathers before it drops those behind the ``depth`` best.
+_GATHERED = 1 << 20
+MATCHES = "shared int, doc_tokens int, query_tokens int, full boolean"
+
+
+class QueryIndex:
+    """Queries by token: the positions of the queries that hold it, in one array."""
+
+    def __init__(self, ids: pa.Array, found: list[list[str]]) -> None:
+        self.ids, self.size = ids, np.array([len(t) for t in found], np.int32)
+        by_token: dict[str, list[int]] = {}
+        for q, held in enumerate(found):
+            for token in held:
+                by_token.setdefault(token, []).append(q)
+        self.row = {t: i for i, t in enumerate(by_token)}
+        self.start = np.concatenate(([0], np.cumsum([len(x) for x in by_token.values()]))).astype(np.int64)
+        self.held = np.array([q for x in by_token.values() for q in x], np.int32)
+
+    def match(self, tokens: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, shared tokens) of those that share any."""
+        rows = [self.row[t] for t in tokens & self.row.keys()]
+        if not rows:
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        hit = np.concatenate([self.held[self.start[r] : self.start[r + 1]] for r in rows])
+        if len(self.size) <= 4 * len(hit):
+            count = np.bincount(hit, minlength=len(self.size))
+            return (found := np.flatnonzero(count).astype(np.int32)), count[found].astype(np.int32)
+        found, count = np.unique(hit, return_counts=True)
+        return found, count.astype(np.int32)
+
+
+def _best(q: np.ndarray, shared: np.ndarray, docs: pa.Array, depth: int) -> np.ndarray:
+    """The places of each query's ``depth`` best."""
+    rank = pc.rank(docs, tiebreaker="dense").to_numpy()
+    order = np.lexsort((rank, -shared, q))
+    own = q[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    nth = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    return order[nth < depth]
+
+
+def _matcher(index: Broadcast, depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: QueryIndex = index.value
+        held: list[tuple] = []
+        gathered = 0
+
+        def columns(parts: list[tuple]) -> tuple:
+            q, shared, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            return q, shared, size, pa.concat_arrays([p[3] for p in parts])
+
+        def made(q, shared, size, docs, full: bool) -> pa.RecordBatch:
+            arrays = [at.ids.take(pa.array(q)), docs, pa.array(shared), pa.array(size), pa.array(at.size[q]), pa.repeat(pa.scalar(full), len(q))]
+            return pa.RecordBatch.from_arrays(arrays, ["query_id", "doc_id", *(c.split()[0] for c in MATCHES.split(", "))])
+
+        for batch in batches:
+            for first in range(0, len(batch), 512):
+                part = batch.slice(first, 512)
+                found = []
+                for i, text in enumerate(part.column(1)):
+                    tokens = {*_TOKEN.findall(text.as_py().lower())} if text.is_valid else set()
+                    q, shared = at.match(tokens)
+                    found.append((q, shared, np.full(len(q), len(tokens), np.int32), np.full(len(q), i)))
+                q, shared, size, row = (np.concatenate([f[k] for f in found]) for k in range(4))
+                docs = part.column(0).take(pa.array(row))
+                if len(full := np.flatnonzero(shared == at.size[q])):
+                    yield made(q[full], shared[full], size[full], docs.take(pa.array(full)), True)
+                held.append((q, shared, size, docs))
+                gathered += len(q)
+                if gathered >= _GATHERED:
+                    q, shared, size, docs = columns(held)
+                    keep = _best(q, shared, docs, depth)
+                    held, gathered = [(q[keep], shared[keep], size[keep], docs.take(pa.array(keep)))], 0
+        if held:
+            q, shared, size, docs = columns(held)
+            keep = _best(q, shared, docs, depth)
+            for i in range(0, len(keep), 50_000):
+                k = keep[i : i + 50_000]
+                yield made(q[k], shared[k], size[k], docs.take(pa.array(k)), False)
+
+    return run
+
+
+def matches(queries: DataFrame, corpus: DataFrame, depth: int) -> DataFrame:
+    """(query_id, doc_id, shared, doc_tokens, query_tokens, full): pairs by the distinct tokens they share, where they share any.
+
+    Of the rows that aren't ``full`` every query's ``depth`` best documents (ties by doc_id) are there, with others that
+    were among the best of a task; rows that are ``full`` are all pairs in which the document has every token of the query.
+
+    The corpus is read once and no pair is shuffled but these: each task holds the queries' index and keeps its best. Where
+    the queries have more than ``INDEX_PAIRS`` tokens in all, tokens are joined and pairs counted instead, for the same rows.
+    """
+    words = queries.select("query_id", tokens(F.col("query")).alias("t")).where(F.size("t") > 0)
+    if (words.agg(F.sum(F.size("t"))).first()[0] or 0) > INDEX_PAIRS:
+        return _joined_matches(words, corpus)
+    got = words.toArrow()
+    index = QueryIndex(got["query_id"].combine_chunks(), got["t"].to_pylist())
+    kinds = [f"{n} {d.schema[n].dataType.simpleString()}" for d, n in ((queries, "query_id"), (corpus, "doc_id"))]
+    return corpus.select("doc_id", "text").mapInArrow(_matcher(corpus.sparkSession.sparkContext.broadcast(index), depth), ", ".join([*kinds, MATCHES]))
 
-def shared_tokens(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, doc_id, shared): how many distinct tokens each pair has in common, if any.
 
-    The corpus is read once; its tokens meet those of the queries in a join that drops all others before anything is
-    shuffled, and counts are combined within the task that holds the document.
-    """
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
-    wanted = corpus.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
-    return wanted.join(asked, "token").groupBy("query_id", "doc_id").agg(F.count("*").cast("int").alias("shared"))
+def _joined_matches(words: DataFrame, corpus: DataFrame) -> DataFrame:
+    asked = words.select("query_id", F.size("t").alias("query_tokens"), F.explode("t").alias("token"))
+    own = corpus.select("doc_id", tokens(F.col("text")).alias("t"))
+    wanted = own.select("doc_id", F.size("t").alias("doc_tokens"), F.explode("t").alias("token"))
+    pairs = wanted.join(asked, "token").groupBy("query_id", "doc_id", "doc_tokens", "query_tokens").agg(F.count("*").cast("int").alias("shared"))
+    both = F.when(F.col("shared") == F.col("query_tokens"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    return pairs.select("query_id", "doc_id", "shared", "doc_tokens", "query_tokens", F.explode(both).alias("full"))
 
 
-def first_stage(queries: DataFrame, corpus: DataFrame, depth: int) -> DataFrame:
+def best_matches(found: DataFrame, depth: int) -> DataFrame:
     """The ``depth`` best documents of every query by shared tokens, ties by doc_id, with ``original_index`` from 0."""
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("shared"), "doc_id"))
-    ranked = shared_tokens(queries, corpus).withColumn("rn", place).where(F.col("rn") <= depth)
-    return ranked.select("query_id", "doc_id", "shared", (F.col("rn") - 1).cast("int").alias("original_index"))
+    ranked = found.where("not full").drop("full").withColumn("rn", place).where(F.col("rn") <= depth)
+    return ranked.withColumn("original_index", (F.col("rn") - 1).cast("int")).drop("rn")
+
+
+def first_stage(queries: DataFrame, corpus: DataFrame, depth: int) -> DataFrame:
+    """``best_matches`` of all queries over the whole corpus."""
+    return best_matches(matches(queries, corpus, depth), depth)
 
 
 def scope(candidates: DataFrame, depth: int) -> DataFrame:

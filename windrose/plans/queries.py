@@ -42,35 +42,37 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, query, doc_id, text, original_index, score): the first stage with texts and the reranking score in millionths."""
-    queries, docs = base_queries(spark, sf_dir), corpus(spark, sf_dir)
-    pairs = C.first_stage(queries, docs, DEPTH)
-    rows = pairs.join(docs, "doc_id").join(queries, "query_id")
-    union = F.size(scalar.tokens(F.col("text"))) + F.size(scalar.tokens(F.col("query"))) - F.col("shared")
-    score = F.floor(F.lit(1_000_000) * F.col("shared") / union).cast("bigint")
-    return rows.select("query_id", "query", "doc_id", "text", "original_index", score.alias("score"))
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of query and document that share tokens, written once for all that a query derives from them."""
+    return materialised(C.matches(base_queries(spark, sf_dir), corpus(spark, sf_dir), DEPTH), "matches")
+
 
+def light(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, original_index, score): the first stage and the reranking score in millionths; no text is read again."""
+    found = C.matches(base_queries(spark, sf_dir), corpus(spark, sf_dir), DEPTH) if found is None else found
+    score = F.floor(F.lit(1_000_000) * F.col("shared") / (F.col("doc_tokens") + F.col("query_tokens") - F.col("shared"))).cast("bigint")
+    return C.best_matches(found, DEPTH).select("query_id", "doc_id", "original_index", score.alias("score"))
 
-def light(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).drop("text", "query")
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``light`` with the texts of queries and documents."""
+    rows = light(spark, sf_dir).join(corpus(spark, sf_dir), "doc_id").join(base_queries(spark, sf_dir), "query_id")
+    return rows.select("query_id", "query", "doc_id", "text", "original_index", "score")
 
 
 def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
 
 
-def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def qrels(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, rel) with positive grades: containment over the whole corpus, labels over the pool of candidates.
 
     A document that contains the query has all its tokens, so the text test meets only pairs that share them all.
     """
-    queries, docs = base_queries(spark, sf_dir), corpus(spark, sf_dir)
-    shared = C.shared_tokens(queries, docs)
-    wanted = queries.withColumn("n", F.size(scalar.tokens(F.col("query"))))
-    full = shared.join(wanted, "query_id").where("shared = n").join(docs, "doc_id").where(F.contains("text", "query"))
-    contained = full.select("query_id", "doc_id", F.lit(2).alias("rel"))
-    pool = C.first_stage(queries, docs, DEPTH).join(good_labels(spark, sf_dir).where("quality = 1"), "doc_id")
+    found = matched(spark, sf_dir) if found is None else found
+    full = found.where("full").select("query_id", "doc_id").join(base_queries(spark, sf_dir), "query_id")
+    contained = full.join(corpus(spark, sf_dir), "doc_id").where(F.contains("text", "query")).select("query_id", "doc_id", F.lit(2).alias("rel"))
+    pool = C.best_matches(found, DEPTH).join(good_labels(spark, sf_dir).where("quality = 1"), "doc_id")
     graded = contained.unionByName(pool.select("query_id", "doc_id", F.lit(1).alias("rel")))
     return graded.groupBy("query_id", "doc_id").agg(F.max("rel").alias("rel"))
 
@@ -101,7 +103,8 @@ def candidate_scope_at_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate(rerank_listwise_window(spark, sf_dir), qrels(spark, sf_dir), 10)
+    found = matched(spark, sf_dir)
+    return evaluate(rerank_by_score(light(spark, sf_dir, found), "score", LISTWISE_20), qrels(spark, sf_dir, found), 10)
 
 
 def _metric(name: str):
@@ -116,11 +119,12 @@ def method_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The task is the parity of the query's id, and one query in seven counts as invalid.
     """
-    light_ = materialised(light(spark, sf_dir), "candidates")  # read by every method
+    found = matched(spark, sf_dir)
+    light_ = materialised(light(spark, sf_dir, found), "candidates")  # read by every method
     ranked = original_order(light_).withColumn("method", F.lit(ORIGINAL))
     for strategy, name in ((LISTWISE_20, f"{LISTWISE}@{DEPTH}"), (Pairwise(passes=10), f"{PAIRWISE}@{DEPTH}")):
         ranked = ranked.unionByName(rerank_by_score(light_, "score", strategy).withColumn("method", F.lit(name)))
-    scores = evaluate(ranked, qrels(spark, sf_dir), 10, by=["method"])
+    scores = evaluate(ranked, qrels(spark, sf_dir, found), 10, by=["method"])
     q = F.col("query_id")
     called = F.col("method") != ORIGINAL
     valid = ~called | (q % 7 != 0)
@@ -222,7 +226,8 @@ def parse_ranking_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels_join_default0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = light(spark, sf_dir).join(qrels(spark, sf_dir), ["query_id", "doc_id"], "left")
+    found = matched(spark, sf_dir)
+    joined = light(spark, sf_dir, found).join(qrels(spark, sf_dir, found), ["query_id", "doc_id"], "left")
     return joined.select("query_id", "doc_id", F.coalesce("rel", F.lit(0)).alias("rel"))
 
 
@@ -270,7 +275,7 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.first_stage(base_queries(spark, sf_dir), corpus(spark, sf_dir), DEPTH)
+    return C.first_stage(base_queries(spark, sf_dir), corpus(spark, sf_dir), DEPTH).select("query_id", "doc_id", "shared", "original_index")
 
 
 def _overlap(query: str, text: str) -> int:
@@ -287,7 +292,7 @@ class _Overlap(FunctionProvider):
 
 def _provided(strategy: Strategy):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = candidates(spark, sf_dir)
+        rows = materialised(candidates(spark, sf_dir), "candidates")  # asked and joined to the answers
         outcomes = ask_provider(rows, _Overlap, strategy, max_concurrency=4, partitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
         return ranked_rows(rows, outcomes).select("query_id", "rank", "original_index", "doc_id", "score")
 
