@@ -40,17 +40,21 @@ class QueryIndex:
         self.start = np.concatenate(([0], np.cumsum([len(x) for x in by_token.values()]))).astype(np.int64)
         self.held = np.array([q for x in by_token.values() for q in x], np.int32)
 
-    def match(self, tokens: set[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(queries, shared tokens) of those that share any."""
-        rows = [self.row[t] for t in tokens & self.row.keys()]
-        if not rows:
-            return np.zeros(0, np.int32), np.zeros(0, np.int32)
-        hit = np.concatenate([self.held[self.start[r] : self.start[r + 1]] for r in rows])
-        if len(self.size) <= 4 * len(hit):
-            count = np.bincount(hit, minlength=len(self.size))
-            return (found := np.flatnonzero(count).astype(np.int32)), count[found].astype(np.int32)
-        found, count = np.unique(hit, return_counts=True)
-        return found, count.astype(np.int32)
+    def match(self, texts: list[set[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, query, shared tokens) of those that share any."""
+        rows = [[self.row[t] for t in tokens & self.row.keys()] for tokens in texts]
+        doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        row = np.fromiter((r for own in rows for r in own), np.int64, len(doc))
+        size = self.start[row + 1] - self.start[row]
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[row], size)
+        key = np.repeat(doc, size) * max(1, len(self.size)) + self.held[at]
+        if len(texts) * len(self.size) <= 4 * len(key):
+            count = np.bincount(key)
+            found = np.flatnonzero(count)
+            count = count[found]
+        else:
+            found, count = np.unique(key, return_counts=True)
+        return *np.divmod(found, max(1, len(self.size))), count.astype(np.int32)
 
 
 def _best(q: np.ndarray, shared: np.ndarray, docs: pa.Array, depth: int) -> np.ndarray:
@@ -80,12 +84,9 @@ def _matcher(index: Broadcast, depth: int):
         for batch in batches:
             for first in range(0, len(batch), 512):
                 part = batch.slice(first, 512)
-                found = []
-                for i, text in enumerate(part.column(1)):
-                    tokens = {*_TOKEN.findall(text.as_py().lower())} if text.is_valid else set()
-                    q, shared = at.match(tokens)
-                    found.append((q, shared, np.full(len(q), len(tokens), np.int32), np.full(len(q), i)))
-                q, shared, size, row = (np.concatenate([f[k] for f in found]) for k in range(4))
+                texts = [{*_TOKEN.findall(t.lower())} if t else set() for t in part.column(1).to_pylist()]
+                row, q, shared = at.match(texts)
+                size = np.array([len(t) for t in texts], np.int32)[row]
                 docs = part.column(0).take(pa.array(row))
                 if len(full := np.flatnonzero(shared == at.size[q])):
                     yield made(q[full], shared[full], size[full], docs.take(pa.array(full)), True)
@@ -105,6 +106,12 @@ def _matcher(index: Broadcast, depth: int):
     return run
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table as it is read, dealt out over all cores where its files have fewer splits than these."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def matches(queries: DataFrame, corpus: DataFrame, depth: int) -> DataFrame:
     """(query_id, doc_id, shared, doc_tokens, query_tokens, full): pairs by the distinct tokens they share, where they share any.
 
@@ -120,7 +127,7 @@ def matches(queries: DataFrame, corpus: DataFrame, depth: int) -> DataFrame:
     got = words.toArrow()
     index = QueryIndex(got["query_id"].combine_chunks(), got["t"].to_pylist())
     kinds = [f"{n} {d.schema[n].dataType.simpleString()}" for d, n in ((queries, "query_id"), (corpus, "doc_id"))]
-    return corpus.select("doc_id", "text").mapInArrow(_matcher(corpus.sparkSession.sparkContext.broadcast(index), depth), ", ".join([*kinds, MATCHES]))
+    return spread(corpus.select("doc_id", "text")).mapInArrow(_matcher(corpus.sparkSession.sparkContext.broadcast(index), depth), ", ".join([*kinds, MATCHES]))
 
 
 def _joined_matches(words: DataFrame, corpus: DataFrame) -> DataFrame:
