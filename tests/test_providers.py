@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import asyncio
 import json
+import time
 
 import pytest
 
-from windrose import Listwise, Pairwise, Reranker, RerankInputError, RerankParseError, RerankProviderError
+from windrose import Document, Listwise, Pairwise, Reranker, RerankInputError, RerankParseError, RerankProviderError, Usage
 from windrose.functions.parsing import classify_ranking, parse_ranking, parse_winner
-from windrose.operators.providers import ChatProvider, FunctionProvider, ScriptedProvider, answer, answer_all
+from windrose.operators.providers import AsyncChatProvider, ChatProvider, FunctionProvider, JudgedProvider, KeywordProvider, ScriptedProvider, answer, answer_all
 
 NO_LIMIT = 4000
 
@@ -92,7 +93,7 @@ def test_async_usage_and_concurrency():
         out = run(p, "abc", Pairwise(2, pair_order_parallelism=together))
         assert p.most == together and (out.llm_calls, out.usage_reports, out.prompt_tokens, out.completion_tokens) == (8, 8, 80, 8)
     p = Async()
-    asyncio.run(answer_all(p, [("q", ["a", "b"])] * 6, Pairwise(1, pair_order_parallelism=1), 3))
+    asyncio.run(answer_all(lambda: p, [("q", ["a", "b"])] * 6, Pairwise(1, pair_order_parallelism=1), 3))
     assert p.most == 3
 
 
@@ -132,6 +133,116 @@ def test_chat_provider_request():
     assert seen["temperature"] == 0 and seen["response_format"] == {"type": "json_object"} and "[2]\ny" in seen["messages"][1]["content"]
 
 
+def test_async_chat_provider_and_usage():
+    now = most = 0
+
+    class Completions:
+        @staticmethod
+        async def create(**request):
+            nonlocal now, most
+            now, most = now + 1, max(most, now + 1)
+            await asyncio.sleep(0.001)
+            now -= 1
+            text = winner("B") if "Passage A:\nx" in request["messages"][1]["content"] else winner("A")
+            message = type("M", (), {"content": text})
+            return type("R", (), {"usage": type("U", (), {"prompt_tokens": 5, "completion_tokens": 2}), "choices": [type("C", (), {"message": message})]})
+
+    client = type("Client", (), {"chat": type("Chat", (), {"completions": Completions})})
+    told = []
+
+    async def on_usage(usage):
+        told.append(usage)
+
+    out = asyncio.run(answer(AsyncChatProvider(client, "m"), "q", ["x", "y"], Pairwise(1), on_usage))
+    assert (out.order, most, out.prompt_tokens) == ([1, 0], 2, 10) and told == [Usage(5, 2, 7)] * 2
+
+
+def test_a_plain_provider_is_never_in_two_threads():
+    busy, clashes, built = {}, [], []
+
+    def factory():
+        class Plain:
+            def rank(self, query, documents):
+                if busy.get(id(self)):
+                    clashes.append(1)
+                busy[id(self)] = True
+                time.sleep(0.002)
+                busy[id(self)] = False
+                return ranking(*range(1, len(documents) + 1))
+
+        built.append(Plain())
+        return built[-1]
+
+    out = asyncio.run(answer_all(factory, [("q", ["a", "b"])] * 30, Listwise(), 4))
+    assert len(out) == 30 and not clashes and 1 < len(built) <= 4
+
+
+class Backwards:
+    """A strategy of one's own: asks for each text alone and turns the list round."""
+
+    algorithm, max_document_chars, needs = "backwards", 100, ("rank",)
+
+    async def walk(self, ask, query, texts):
+        for t in texts:
+            await ask("rank", query, [t])
+        return list(range(len(texts)))[::-1]
+
+
+class Nonsense(Backwards):
+    async def walk(self, ask, query, texts):
+        return [0] * len(texts)
+
+
+def test_custom_strategy(spark):
+    out = Reranker(Backwards(), provider=by_length).rerank(spark, "q", ["a", Document("b", "id", {"k": 1}), "c"])
+    assert [(r.document.text, r.rank, r.original_index, r.metadata["strategy"]) for r in out] == [("c", 1, 2, "custom"), ("b", 2, 1, "custom"), ("a", 3, 0, "custom")]
+    assert out[1].document == Document("b", "id", {"k": 1}) and Reranker(Listwise(), provider=by_length).rerank(spark, "q", []) == []
+    with pytest.raises(TypeError):
+        Reranker(Listwise(), provider=by_length).rerank(spark, "q", [1])
+    with pytest.raises(RerankParseError):
+        Reranker(Nonsense(), provider=by_length).rerank(spark, "q", ["a", "b"])
+    with pytest.raises(RerankInputError):
+        Reranker(Backwards(), provider=lambda: object())
+    with pytest.raises(RerankInputError):
+        Reranker(Backwards(), score="s")
+
+
+def test_offline_providers():
+    judged = JudgedProvider({"q": {"b": 2, "c": 1}})
+    assert run(judged, "abc", Listwise()).order == run(judged, "abc", Pairwise(2)).order == [1, 2, 0]
+    words = KeywordProvider(["Fever", "rash"], {"not": -4})
+    assert run(words, ["a rash, not fever, no", "FEVER and a rash", "fever", "a fever"], Listwise(max_document_chars=99)).order == [1, 2, 3, 0]
+
+
+def counted(log):
+    def factory():
+        class P(FunctionProvider):
+            def rank(self, query, documents):
+                with open(log, "a") as f:
+                    f.write(query + "\n")
+                return "no" if query == "0" else super().rank(query, documents)
+
+        return P(length)
+
+    return factory
+
+
+def test_fail_fast_begins_no_other_query(spark, tmp_path):
+    df = spark.createDataFrame([(str(i), str(i), j, "d", "x" * j) for i in range(200) for j in range(2)], CANDIDATES).coalesce(1)
+    for mode, least in (("fail_fast", 1), ("record", 200)):
+        log = tmp_path / mode
+        reranker = Reranker(Listwise(), provider=counted(str(log)), mode=mode, partitions=1)
+        if mode == "record":
+            assert reranker.transform(df).count() == 398
+        else:
+            with pytest.raises(RerankParseError):
+                reranker.transform(df)
+            asked = {*log.read_text().split()}
+            assert reranker.outcomes.where("failure_type = 'not_asked'").count() == 200 - len(asked)
+        calls = len(log.read_text().split())
+        assert least <= calls <= 200
+
+
 def length(query: str, text: str) -> int:
     return len(text)
 

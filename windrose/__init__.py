@@ -2,9 +2,10 @@
 
 from windrose.config import Listwise, Pairwise, PriceConfig
 from windrose.errors import DocumentTooLongError, RerankError, RerankInputError, RerankParseError, RerankProviderError
-from windrose.operators.rerank import Reranker
+from windrose.operators.providers import Usage
+from windrose.operators.rerank import Document, Ranked, Reranker
 
 __all__ = [
-    "DocumentTooLongError", "Listwise", "Pairwise", "PriceConfig", "RerankError", "RerankInputError", "RerankParseError",
-    "RerankProviderError", "Reranker",
+    "Document", "DocumentTooLongError", "Listwise", "Pairwise", "PriceConfig", "Ranked", "RerankError", "RerankInputError", "RerankParseError",
+    "RerankProviderError", "Reranker", "Usage",
 ]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Awaitable, Callable
 from dataclasses import dataclass
+from typing import Protocol, runtime_checkable
 
 from windrose.errors import RerankInputError
 
@@ -50,7 +52,22 @@ class Pairwise:
             raise ValueError("pair_order_parallelism must be 1 or 2")
 
 
-Strategy = Listwise | Pairwise
+@runtime_checkable
+class CustomStrategy(Protocol):
+    """A walk of one's own: any picklable object with these.
+
+    ``walk`` gets ``ask(name, *args)``, which calls the provider's method and counts the call, the query and its texts, and returns
+    the positions of the texts, best first, each once. ``needs`` names the provider's methods that it calls.
+    """
+
+    algorithm: str
+    max_document_chars: int
+    needs: tuple[str, ...]
+
+    async def walk(self, ask: Callable[..., Awaitable[str]], query: str, texts: list[str]) -> list[int]: ...
+
+
+Strategy = Listwise | Pairwise | CustomStrategy
 
 
 @dataclass(frozen=True)
@@ -60,6 +77,10 @@ class PriceConfig:
     input_per_million: float
     output_per_million: float
 
+    def __post_init__(self) -> None:
+        if min(self.input_per_million, self.output_per_million) < 0:
+            raise ValueError("prices must not be negative")
+
 
 @dataclass(frozen=True)
 class Method:
@@ -89,6 +110,11 @@ def check_top_k(top_k: int | None) -> None:
 
 
 def check_capability(provider: object, strategy: Strategy) -> None:
-    wanted = "rank" if isinstance(strategy, Listwise) else "compare"
-    if not callable(getattr(provider, wanted, None)):
-        raise RerankInputError(f"{type(provider).__name__} has no method {wanted}, which {strategy.algorithm} calls")
+    needs = ("rank",) if isinstance(strategy, Listwise) else ("compare",) if isinstance(strategy, Pairwise) else strategy.needs
+    for wanted in needs:
+        if not callable(getattr(provider, wanted, None)):
+            raise RerankInputError(f"{type(provider).__name__} has no method {wanted}, which {strategy.algorithm} calls")
+
+
+def kind_of(strategy: Strategy) -> str:
+    return "listwise" if isinstance(strategy, Listwise) else "pairwise" if isinstance(strategy, Pairwise) else "custom"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,14 +15,26 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
+_QUERY, _PASSAGES, _A, _B = "Search query:\n", "\n\nPassages:\n", "\n\nPassage A:\n", "\n\nPassage B:\n"
+
+
 def listwise_prompt(query: Column, texts: Column) -> Column:
     """The query, and the numbered texts of an array in its order; nothing else of a document is sent."""
     numbered = F.transform(texts, lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]\n"), t))
-    return F.concat(F.lit("Search query:\n"), query, F.lit("\n\nPassages:\n"), F.array_join(numbered, "\n\n"))
+    return F.concat(F.lit(_QUERY), query, F.lit(_PASSAGES), F.array_join(numbered, "\n\n"))
 
 
 def pairwise_prompt(query: Column, a: Column, b: Column) -> Column:
-    return F.concat(F.lit("Search query:\n"), query, F.lit("\n\nPassage A:\n"), a, F.lit("\n\nPassage B:\n"), b)
+    return F.concat(F.lit(_QUERY), query, F.lit(_A), a, F.lit(_B), b)
+
+
+def listwise_message(query: str, texts: Sequence[str]) -> str:
+    """``listwise_prompt`` of plain strings: what a provider sends."""
+    return _QUERY + query + _PASSAGES + "\n\n".join(f"[{i}]\n{t}" for i, t in enumerate(texts, 1))
+
+
+def pairwise_message(query: str, a: str, b: str) -> str:
+    return _QUERY + query + _A + a + _B + b
 
 
 def stable_seed(*parts: Column) -> Column:
@@ -51,20 +65,30 @@ def window_starts(n: Column, strategy: Listwise) -> Column:
     return F.when(n <= w, F.array(F.lit(0))).otherwise(F.concat(back, F.array(F.lit(0))))
 
 
-def window_ranges(document_count: int, window_size: int, step: int, rank_start: int = 0, rank_end: int | None = None) -> list[tuple[int, int]]:
-    """(start, end) of windows moved by their end, so that the last may be short; a planning aid, not the strategy's windows."""
+def window_ranges(document_count: int, window_size: int, step: int, rank_start: int = 0, rank_end: int | None = None) -> tuple[tuple[int, int], ...]:
+    """(start, end) of windows moved by their end, so that the last may be short; a planning aid, not the strategy's windows.
+
+    An end beyond the list is its end; a list without documents has no windows; a range without places is refused.
+    """
+    if document_count < 1:
+        return ()
     rank_end = document_count if rank_end is None else rank_end
-    if not 0 <= rank_start <= rank_end <= document_count:
-        raise ValueError("0 <= rank_start <= rank_end <= document_count must hold")
-    if window_size < 1 or not 1 <= step <= window_size:
-        raise ValueError("1 <= step <= window_size must hold")
-    out, end = [], rank_end
-    while end > rank_start:
-        out.append((max(rank_start, end - window_size), end))
-        if out[-1][0] == rank_start:
-            break
-        end -= step
-    return out
+    if rank_start < 0 or window_size < 1 or not 1 <= step <= window_size or rank_end <= rank_start:
+        raise ValueError("0 <= rank_start < rank_end and 1 <= step <= window_size must hold")
+    end = min(rank_end, document_count)
+    if end <= rank_start:
+        raise ValueError("the range begins behind the last document")
+    starts = range(end - window_size, rank_start, -step)
+    ends = range(end, end - step * len(starts), -step)
+    return (*zip(starts, ends), (rank_start, end - step * len(starts)))
+
+
+def range_plan(n: Column, window_size: int, step: int) -> Column:
+    """``window_ranges`` over all of ``n`` documents: an array of (start, upto) in the order of the calls."""
+    moved = F.when(n > window_size, F.ceil((n - window_size) / F.lit(step))).otherwise(0)
+    steps = F.sequence(F.lit(0), moved.cast("int"))
+    made = F.transform(steps, lambda i: F.struct(F.greatest(n - i * step - window_size, F.lit(0)).cast("int").alias("start"), (n - i * step).cast("int").alias("upto")))
+    return F.when(n < 1, F.array().cast("array<struct<start:int,upto:int>>")).otherwise(made)
 
 
 def compose_title(title: Column, text: Column) -> Column:

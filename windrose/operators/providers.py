@@ -1,8 +1,9 @@
 """Providers: what answers a listwise or a pairwise question, and the walk over one query's documents.
 
 A provider has ``rank(query, texts) -> str`` and/or ``compare(query, a, b) -> str``, plain or ``async``; the answers are JSON. Where it
-also has ``usage() -> (prompt_tokens, completion_tokens) | None``, it is asked after every call. Executors build it
-from a picklable factory, once a partition.
+also returns ``(answer, (prompt_tokens, completion_tokens))``, these are counted and told to ``on_usage``. Executors build it from a
+picklable factory: an async provider once a partition, a plain one once for each query that may be under way at a time, so
+that no instance is ever used by two threads at once.
 """
 
 from __future__ import annotations
@@ -11,13 +12,17 @@ import asyncio
 import inspect
 import json
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Awaitable, Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any, Protocol
 
 from windrose.config import Listwise, Pairwise, Strategy
 from windrose.errors import RerankParseError
 from windrose.functions.parsing import parse_ranking, parse_winner
+from windrose.functions.scalar import listwise_message, pairwise_message
+
+Ask = Callable[..., Awaitable[str]]
 
 
 class ListwiseProvider(Protocol):
@@ -28,6 +33,15 @@ class PairwiseProvider(Protocol):
     def compare(self, query: str, a: str, b: str) -> str: ...
 
 
+@dataclass(frozen=True)
+class Usage:
+    """The tokens of one call."""
+
+    prompt_tokens: int
+    completion_tokens: int
+    total_tokens: int
+
+
 @dataclass
 class Outcome:
     order: list[int] | None = None
@@ -42,7 +56,10 @@ class Outcome:
     llm_calls: int = 0
 
 
-async def _call(provider: Any, outcome: Outcome, name: str, *args: Any) -> str:
+UsageCallback = Callable[[Usage], Any]
+
+
+async def _call(provider: Any, outcome: Outcome, name: str, *args: Any, on_usage: UsageCallback | None = None) -> str:
     """One answer; plain functions run in a thread, so that other queries go on meanwhile."""
     outcome.llm_calls += 1
     function = getattr(provider, name)
@@ -56,48 +73,58 @@ async def _call(provider: Any, outcome: Outcome, name: str, *args: Any) -> str:
             outcome.usage_reports += 1
             outcome.prompt_tokens = (outcome.prompt_tokens or 0) + usage[0]
             outcome.completion_tokens = (outcome.completion_tokens or 0) + usage[1]
+            if on_usage is not None and inspect.isawaitable(told := on_usage(Usage(usage[0], usage[1], usage[0] + usage[1]))):
+                await told
     if not answer:
         raise RuntimeError("the provider answered nothing")
     return answer
 
 
-async def _listwise(provider: Any, outcome: Outcome, query: str, texts: list[str], strategy: Listwise) -> list[int]:
+async def _listwise(ask: Ask, query: str, texts: list[str], strategy: Listwise) -> list[int]:
     order, w = list(range(len(texts))), strategy.window_size
     starts = [*range(len(texts) - w, 0, -strategy.stride), 0] if len(texts) else []
     for at in starts:
         window = order[at : at + w]
-        raw = await _call(provider, outcome, "rank", query, [texts[i] for i in window])
+        raw = await ask("rank", query, [texts[i] for i in window])
         order[at : at + w] = [window[r - 1] for r in parse_ranking(raw, len(window))]
     return order
 
 
-async def _pairwise(provider: Any, outcome: Outcome, query: str, texts: list[str], strategy: Pairwise) -> list[int]:
+async def _pairwise(ask: Ask, query: str, texts: list[str], strategy: Pairwise, together: bool) -> list[int]:
     """The two orders of a pair overlap only where the provider is async; a plain one needn't be safe for threads."""
     order = list(range(len(texts)))
     for _ in range(strategy.passes):
         for right in range(len(order) - 1, 0, -1):
             a, b = texts[order[right - 1]], texts[order[right]]
             asked = [(query, a, b), (query, b, a)]
-            if strategy.pair_order_parallelism == 2 and inspect.iscoroutinefunction(provider.compare):
-                raw = await asyncio.gather(*(_call(provider, outcome, "compare", *x) for x in asked))
+            if together:
+                raw = await asyncio.gather(*(ask("compare", *x) for x in asked))
             else:
-                raw = [await _call(provider, outcome, "compare", *x) for x in asked]
+                raw = [await ask("compare", *x) for x in asked]
             if [parse_winner(x) for x in raw] == ["B", "A"]:
                 order[right - 1], order[right] = order[right], order[right - 1]
     return order
 
 
-async def answer(provider: Any, query: str, texts: list[str], strategy: Strategy) -> Outcome:
+async def answer(provider: Any, query: str, texts: list[str], strategy: Strategy, on_usage: UsageCallback | None = None) -> Outcome:
     """The order of one query's texts, or the recorded failure; nothing is retried or repaired."""
     outcome, began = Outcome(), time.perf_counter()
+    ask = partial(_call, provider, outcome, on_usage=on_usage)
     try:
-        walk = _listwise if isinstance(strategy, Listwise) else _pairwise
         if long := [(i, len(t)) for i, t in enumerate(texts) if len(t) > strategy.max_document_chars]:
             i, size = long[0]
             outcome.valid, outcome.failure_type = False, "document_too_long"
             outcome.error = f"document {i} has {size} characters; the limit is {strategy.max_document_chars}"
+        elif isinstance(strategy, Listwise):
+            outcome.order = await _listwise(ask, query, texts, strategy)
+        elif isinstance(strategy, Pairwise):
+            together = strategy.pair_order_parallelism == 2 and inspect.iscoroutinefunction(provider.compare)
+            outcome.order = await _pairwise(ask, query, texts, strategy, together)
         else:
-            outcome.order = await walk(provider, outcome, query, texts, strategy)
+            order = list(await strategy.walk(ask, query, texts))
+            if sorted(order) != list(range(len(texts))):
+                raise RerankParseError(f"{strategy.algorithm} gave no order of {len(texts)} documents", json.dumps(order, default=str))
+            outcome.order = order
     except RerankParseError as e:
         outcome.valid, outcome.failure_type, outcome.error, outcome.raw_response = False, "llm_output_invalid", e.reason, e.raw_response
     except Exception as e:  # noqa: BLE001 - whatever a provider throws is its failure
@@ -106,15 +133,46 @@ async def answer(provider: Any, query: str, texts: list[str], strategy: Strategy
     return outcome
 
 
-async def answer_all(provider: Any, queries: list[tuple[str, list[str]]], strategy: Strategy, max_concurrency: int) -> list[Outcome]:
-    """Queries overlap up to ``max_concurrency``; within a query the calls keep their sequence."""
-    gate = asyncio.Semaphore(max_concurrency)
+def _is_async(provider: Any) -> bool:
+    return any(inspect.iscoroutinefunction(getattr(provider, n, None)) for n in ("rank", "compare"))
+
+
+NOT_ASKED = "not_asked"
 
-    async def one(query: str, texts: list[str]) -> Outcome:
-        async with gate:
-            return await answer(provider, query, texts, strategy)
 
-    return await asyncio.gather(*(one(*q) for q in queries))
+class Pool:
+    """The providers of one partition, built as they are needed."""
+
+    def __init__(self, factory: Callable[[], Any], size: int) -> None:
+        self.factory, self.size = factory, size
+        first = factory()
+        self.shared = first if _is_async(first) else None
+        self.free = [first]
+
+    async def answers(self, queries: list[tuple[str, list[str]]], strategy: Strategy, *, fail_fast: bool = False, on_usage: UsageCallback | None = None) -> list[Outcome]:
+        """Queries overlap up to ``size``; within a query the calls keep their sequence. ``fail_fast``: after a failure no further query is begun."""
+        gate, failed = asyncio.Semaphore(self.size), False
+
+        async def one(query: str, texts: list[str]) -> Outcome:
+            nonlocal failed
+            async with gate:
+                if failed and fail_fast:
+                    return Outcome(valid=False, failure_type=NOT_ASKED)
+                provider = self.shared or (self.free.pop() if self.free else self.factory())
+                try:
+                    outcome = await answer(provider, query, texts, strategy, on_usage)
+                finally:
+                    if self.shared is None:
+                        self.free.append(provider)
+                failed = failed or not outcome.valid
+                return outcome
+
+        return await asyncio.gather(*(one(*q) for q in queries))
+
+
+async def answer_all(factory: Callable[[], Any], queries: list[tuple[str, list[str]]], strategy: Strategy, max_concurrency: int) -> list[Outcome]:
+    """All outcomes, from a pool of its own."""
+    return await Pool(factory, max_concurrency).answers(queries, strategy)
 
 
 class FunctionProvider:
@@ -162,18 +220,55 @@ class ChatProvider:
         self._factory, self._model, self._client = client, model, None
 
     def _ask(self, system: str, user: str) -> tuple[str, tuple[int, int] | None]:
+        return self._read(self._create(system, user))
+
+    def _create(self, system: str, user: str) -> Any:
         if self._client is None:
             self._client = self._factory()
-        reply = self._client.chat.completions.create(
+        return self._client.chat.completions.create(
             model=self._model, temperature=0, response_format={"type": "json_object"},
             messages=[{"role": "system", "content": system}, {"role": "user", "content": user}],
         )
+
+    def _read(self, reply: Any) -> tuple[str, tuple[int, int] | None]:
         usage = getattr(reply, "usage", None)
         return reply.choices[0].message.content, None if usage is None else (usage.prompt_tokens, usage.completion_tokens)
 
     def rank(self, query: str, documents: Sequence[str]) -> Any:
-        listed = "\n\n".join(f"[{i}]\n{t}" for i, t in enumerate(documents, 1))
-        return self._ask(self.RANK, f"Search query:\n{query}\n\nPassages:\n{listed}")
+        return self._ask(self.RANK, listwise_message(query, documents))
 
     def compare(self, query: str, a: str, b: str) -> Any:
-        return self._ask(self.COMPARE, f"Search query:\n{query}\n\nPassage A:\n{a}\n\nPassage B:\n{b}")
+        return self._ask(self.COMPARE, pairwise_message(query, a, b))
+
+
+class AsyncChatProvider(ChatProvider):
+    """As ``ChatProvider``, behind a client whose ``create`` is awaited; both orders of a pair may be under way at once."""
+
+    async def _reply(self, system: str, user: str) -> tuple[str, tuple[int, int] | None]:
+        return self._read(await self._create(system, user))
+
+    async def rank(self, query: str, documents: Sequence[str]) -> Any:
+        return await self._reply(self.RANK, listwise_message(query, documents))
+
+    async def compare(self, query: str, a: str, b: str) -> Any:
+        return await self._reply(self.COMPARE, pairwise_message(query, a, b))
+
+
+class JudgedProvider(FunctionProvider):
+    """Ranks by known judgments: {query: {text: grade}}, 0 where there is none. The best a reranker can do, for tests of the rest."""
+
+    def __init__(self, grades: Mapping[str, Mapping[str, float]]) -> None:
+        super().__init__(lambda query, text: grades.get(query, {}).get(text, 0))
+
+
+class KeywordProvider(FunctionProvider):
+    """Ranks by terms: 2 for each that is in the text, whatever its case, and the weight of each cue that is; of equal ones the shorter text is better."""
+
+    def __init__(self, terms: Iterable[str], cues: Mapping[str, int] | None = None) -> None:
+        wanted, weighed = [t.lower() for t in terms], {c.lower(): w for c, w in (cues or {}).items()}
+
+        def score(query: str, text: str) -> tuple[int, int]:
+            low = text.lower()
+            return 2 * sum(t in low for t in wanted) + sum(w for c, w in weighed.items() if c in low), -len(text)
+
+        super().__init__(score)

@@ -8,23 +8,48 @@ Only scores and positions pass through the fold; the other columns wait in the s
 from __future__ import annotations
 
 import asyncio
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import asdict
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrose.config import Listwise, Strategy, check_capability, check_top_k
-from windrose.errors import BY_FAILURE, RerankError
+from windrose.config import Listwise, Strategy, check_capability, check_top_k, kind_of
+from windrose.errors import BY_FAILURE, RerankError, RerankInputError
 from windrose.functions.scalar import estimate_calls
 from windrose.operators.folds import fold
-from windrose.operators.providers import answer_all
+from windrose.operators.providers import NOT_ASKED, Outcome, Pool
 from windrose.schemas import OUTCOME
 from windrose.storage import materialised
 
 
+@dataclass(frozen=True)
+class Document:
+    text: str
+    id: str | None = None
+    metadata: Mapping[str, Any] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Ranked:
+    """A document with its place, 1 for the best, and where it was in the list that was given, from 0."""
+
+    document: Document
+    rank: int
+    original_index: int
+    metadata: Mapping[str, Any]
+
+
+def normalised(documents: Sequence[str | Document]) -> list[Document]:
+    """Texts become documents without an id; anything else is a ``TypeError``."""
+    for d in documents:
+        if not isinstance(d, (str, Document)):
+            raise TypeError(f"a document is a text or a Document, not {type(d).__name__}")
+    return [d if isinstance(d, Document) else Document(d) for d in documents]
+
+
 def guard_length(text: Column, limit: int) -> Column:
     """``text``, or an error that names its length, where it is longer than the limit; it is never cut."""
     message = F.format_string(f"document of %d characters; the limit is {limit}", F.length(text))
@@ -64,32 +89,42 @@ def original_order(candidates: DataFrame, *, top_k: int | None = None) -> DataFr
     return _scored(candidates.withColumn("rank", (F.col("original_index") + 1).cast("int")), top_k)
 
 
-def _partition(factory: Callable[[], Any], strategy: Strategy, keys: Sequence[str], max_concurrency: int):
+#: Queries whose answers a task hands on together: what an executor's loss can cost, and what it holds in memory.
+_TOGETHER = 64
+
+
+def _partition(factory: Callable[[], Any], strategy: Strategy, keys: Sequence[str], max_concurrency: int, fail_fast: bool, on_usage: Callable | None):
     names = [x.split()[0] for x in OUTCOME.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = None
+        pool, failed = None, False
         for batch in batches:
-            if not len(batch):
-                continue
-            provider = factory() if provider is None else provider
-            asked = [(q, list(t)) for q, t in zip(batch["query"], batch["texts"])]
-            outcomes = pd.DataFrame([asdict(o) for o in asyncio.run(answer_all(provider, asked, strategy, max_concurrency))], columns=names)
-            outcomes["prompt_tokens"] = outcomes["prompt_tokens"].astype("Int64")
-            outcomes["completion_tokens"] = outcomes["completion_tokens"].astype("Int64")
-            yield pd.concat([batch[[*keys, "ids"]].reset_index(drop=True), outcomes], axis=1)
+            for at in range(0, len(batch), max(_TOGETHER, 4 * max_concurrency)):
+                part = batch.iloc[at : at + max(_TOGETHER, 4 * max_concurrency)]
+                pool = Pool(factory, max_concurrency) if pool is None else pool
+                asked = [(q, list(t)) for q, t in zip(part["query"], part["texts"])]
+                if failed and fail_fast:
+                    found = [Outcome(valid=False, failure_type=NOT_ASKED) for _ in asked]
+                else:
+                    found = asyncio.run(pool.answers(asked, strategy, fail_fast=fail_fast, on_usage=on_usage))
+                failed = failed or not all(o.valid for o in found)
+                outcomes = pd.DataFrame([asdict(o) for o in found], columns=names)
+                outcomes["prompt_tokens"] = outcomes["prompt_tokens"].astype("Int64")
+                outcomes["completion_tokens"] = outcomes["completion_tokens"].astype("Int64")
+                yield pd.concat([part[[*keys, "ids"]].reset_index(drop=True), outcomes], axis=1)
 
     return run
 
 
 def ask_provider(
     candidates: DataFrame, factory: Callable[[], Any], strategy: Strategy, *, keys: Sequence[str] = ("query_id",),
-    max_concurrency: int = 1, partitions: int | None = None,
+    max_concurrency: int = 1, partitions: int | None = None, fail_fast: bool = False, on_usage: Callable | None = None,
 ) -> DataFrame:
     """A row per query: its keys, ``order`` (original indices, best first), and what the call cost or why it failed.
 
     The rows are written to the shared folder before they are returned, so no later action asks again. A lost
-    task repeats the calls of its own queries only. Queries are spread over ``partitions``.
+    task repeats the calls of its own queries only. Queries are spread over ``partitions``. ``fail_fast``: once a query of a
+    task has failed the task begins no other, and those left have the failure_type "not_asked". ``on_usage`` is called in the executor with the ``Usage`` of every call that told it.
     """
     check_capability(factory(), strategy)
     entry = F.struct("original_index", F.coalesce("text", F.lit("")).alias("text"))
@@ -98,14 +133,14 @@ def ask_provider(
     if partitions:
         packed = packed.repartition(partitions, *keys)
     kinds = ", ".join(f"`{k}` {candidates.schema[k].dataType.simpleString()}" for k in keys)
-    asked = packed.mapInPandas(_partition(factory, strategy, keys, max_concurrency), f"{kinds}, ids array<int>, {OUTCOME}")
+    asked = packed.mapInPandas(_partition(factory, strategy, keys, max_concurrency, fail_fast, on_usage), f"{kinds}, ids array<int>, {OUTCOME}")
     positions = F.transform("order", lambda p: F.element_at("ids", p + 1))
     return materialised(asked.withColumn("order", positions).drop("ids"), "answers")
 
 
 def raise_first(outcomes: DataFrame, keys: Sequence[str]) -> None:
     """The typed error of the first failed query, if any failed."""
-    bad = outcomes.where("not valid").orderBy(*keys).limit(1).collect()
+    bad = outcomes.where(F.expr("not valid") & (F.col("failure_type") != NOT_ASKED)).orderBy(*keys).limit(1).collect()
     if bad:
         row = bad[0]
         kind, message = BY_FAILURE.get(row["failure_type"], RerankError), row["error"] or row["failure_type"]
@@ -128,7 +163,7 @@ class Reranker:
 
     def __init__(
         self, strategy: Strategy = Listwise(), *, provider: Callable[[], Any] | None = None, score: str | None = None,
-        mode: str = "fail_fast", max_concurrency: int = 1, partitions: int | None = None,
+        mode: str = "fail_fast", max_concurrency: int = 1, partitions: int | None = None, on_usage: Callable | None = None,
     ) -> None:
         if (provider is None) == (score is None):
             raise ValueError("give either a provider or a score")
@@ -137,22 +172,35 @@ class Reranker:
         if provider is not None:
             check_capability(provider(), strategy)
         self.strategy, self.provider, self.score, self.mode = strategy, provider, score, mode
-        self.max_concurrency, self.partitions = max_concurrency, partitions
+        if score is not None and kind_of(strategy) == "custom":
+            raise RerankInputError("a strategy of one's own walks a provider's answers, not a score")
+        self.max_concurrency, self.partitions, self.on_usage = max_concurrency, partitions, on_usage
         self.outcomes: DataFrame | None = None
 
     def transform(self, candidates: DataFrame, *, keys: Sequence[str] = ("query_id",), top_k: int | None = None) -> DataFrame:
         check_top_k(top_k)
-        metadata = F.create_map(F.lit("strategy"), F.lit("listwise" if isinstance(self.strategy, Listwise) else "pairwise"), F.lit("algorithm"), F.lit(self.strategy.algorithm))
+        metadata = F.create_map(F.lit("strategy"), F.lit(kind_of(self.strategy)), F.lit("algorithm"), F.lit(self.strategy.algorithm))
         if self.provider is None:
             guarded = candidates.withColumn("text", guard_length(F.col("text"), self.strategy.max_document_chars)) if "text" in candidates.columns else candidates
             ranked = rerank_by_score(guarded, self.score, self.strategy, keys=keys, top_k=top_k)
         else:
-            self.outcomes = ask_provider(candidates, self.provider, self.strategy, keys=keys, max_concurrency=self.max_concurrency, partitions=self.partitions)
+            self.outcomes = ask_provider(candidates, self.provider, self.strategy, keys=keys, max_concurrency=self.max_concurrency, partitions=self.partitions, fail_fast=self.mode == "fail_fast", on_usage=self.on_usage)
             if self.mode == "fail_fast":
                 raise_first(self.outcomes, keys)
             ranked = ranked_rows(candidates, self.outcomes, keys=keys, top_k=top_k)
         return ranked.withColumn("result_metadata", metadata)
 
+    def rerank(self, spark: SparkSession, query: str, documents: Sequence[str | Document], *, top_k: int | None = None) -> list[Ranked]:
+        """One query's documents, given and returned as plain objects; nothing is asked where there are none."""
+        check_top_k(top_k)
+        given = normalised(documents)
+        if not given:
+            return []
+        rows = [("", query, i, d.text) for i, d in enumerate(given)]
+        frame = spark.createDataFrame(rows, "query_id string, query string, original_index int, text string")
+        ranked = self.transform(frame, top_k=top_k).orderBy("rank").collect()
+        return [Ranked(given[r["original_index"]], r["rank"], r["original_index"], dict(r["result_metadata"])) for r in ranked]
+
     def estimated_calls(self, candidates: DataFrame, *, keys: Sequence[str] = ("query_id",)) -> DataFrame:
         """Calls per query, before any is made."""
         return candidates.groupBy(*keys).agg(F.count("*").cast("int").alias("n")).withColumn("calls", estimate_calls(F.col("n"), self.strategy))
