@@ -32,6 +32,72 @@ def test_run_resumes(spark, samples, tmp_path):
     assert {p.name for p in (tmp_path / "out").iterdir()} == {"overall_summary.json", "task_summary.json", "metadata.json", "result_tables.md"}
 
 
+class Died(Exception):
+    pass
+
+
+def test_a_crash_costs_one_batch(spark, tmp_path):
+    """Rows of finished batches are never asked again."""
+    calls = tmp_path / "calls"
+    rows = [("t", "test", f"{q:02}", f"q{q:02}", i, d, d, float(d == "b")) for q in range(12) for i, d in enumerate("ab")]
+    many = spark.createDataFrame(rows, SAMPLE)
+
+    def factory():
+        from tests.test_providers import length
+        from windrose.operators.providers import FunctionProvider
+
+        class P(FunctionProvider):
+            def rank(self, query, documents):
+                with open(calls, "a") as f:
+                    f.write(query + "\n")
+                return super().rank(query, documents)
+
+        return P(length)
+
+    batches = []
+
+    def die(batch):
+        batches.append(batch.count())
+        if len(batches) == 2:
+            raise Died
+
+    with pytest.raises(Died):
+        runner.run(spark, many, ["rankgpt_sliding_window@2"], str(tmp_path / "log"), provider=factory, batch_queries=3, on_batch=die)
+    before = calls.read_text().split()
+    assert len(before) == sum(batches) < 12
+    seen = []
+    out = runner.run(spark, many, ["rankgpt_sliding_window@2"], str(tmp_path / "log"), provider=factory, batch_queries=5, on_batch=seen.append)
+    assert sorted(calls.read_text().split()) == [f"q{q:02}" for q in range(12)] and out.count() == 12 and seen
+
+
+def test_failures_are_counted_in_summaries(spark, samples, tmp_path):
+    from windrose.operators.summary import summarise, with_failures
+
+    results = runner.run(spark, samples, ["original", "rankgpt_sliding_window@3"], str(tmp_path / "log"), provider=broken_for_q2)
+    got = {(r["level"], r["method"]): r["failure_type_counts"] for r in with_failures(summarise(results), results).collect()}
+    assert got == {("overall", "original"): {}, ("task", "original"): {}, ("overall", "rankgpt_sliding_window@3"): {"llm_output_invalid": 1}, ("task", "rankgpt_sliding_window@3"): {"llm_output_invalid": 1}}
+
+
+def test_streams(spark, tmp_path):
+    from windrose import Reranker
+    from windrose.streaming import rerank_stream as S
+
+    rows = [(str(q), f"q{q}", i, d, d * (i + 1)) for q in range(3) for i, d in enumerate("ab")]
+    schema = "query_id string, query string, original_index int, doc_id string, text string"
+    for n, part in enumerate((rows[:4], rows[4:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = S.rerank_stream(stream, Reranker(Listwise(), provider=by_length), f"{tmp_path}/out", f"{tmp_path}/state")
+    query.processAllAvailable()
+    query.stop()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert {(r["query_id"], r["rank"], r["doc_id"]) for r in out.collect()} == {(str(q), r, d) for q in range(3) for r, d in ((1, "b"), (2, "a"))}
+    packed = spark.createDataFrame([("1", [("a", 1.0), ("b", 2.0), ("c", None)])], "query_id string, candidates array<struct<doc_id:string,score:double>>")
+    assert [r["doc_id"] for r in S.rerank_packed(packed, Listwise(), top_k=2).orderBy("rank").collect()] == ["b", "a"]
+    keys = spark.createDataFrame([("t", "s", "1", "m"), ("t", "s", "2", "m")], "task string, split string, query_id string, method string")
+    assert [r["query_id"] for r in S.unfinished(keys, keys.where("query_id = '1'")).collect()] == ["2"]
+
+
 def test_depth_drops_the_rest(spark, samples):
     row = runner.run_method(samples, "prp_sliding_k@1", by_length).orderBy("query_id").first()
     assert row["ranked_doc_ids"] == ["a"] and row["recall_at_10"] == 0.0 and row["llm_calls"] == 0

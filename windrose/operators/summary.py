@@ -49,6 +49,19 @@ def summarise(results: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame
     return out.withColumnRenamed("task_name", "task")
 
 
+def with_failures(summary: DataFrame, results: DataFrame) -> DataFrame:
+    """``summary`` with ``failure_type_counts``, a map from failure_type to its number of rows."""
+    rows = results.where("failure_type is not null").withColumnRenamed("task", "task_name")
+    grouped = rows.groupingSets([[F.col("method"), F.col("failure_type")], [F.col("method"), F.col("task_name"), F.col("failure_type")]], F.col("method"), F.col("task_name"), F.col("failure_type"))
+    counts = grouped.agg(F.when(F.grouping("task_name") == 1, "overall").otherwise("task").alias("level"), F.count("*").alias("n"))
+    maps = counts.groupBy("level", "method", F.col("task_name").alias("task")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("failure_type", "n")))).alias("failure_type_counts"))
+    maps = maps.toDF("__level", "__method", "__task", "failure_type_counts")
+    same = (F.col("level") == F.col("__level")) & F.col("method").eqNullSafe(F.col("__method")) & F.col("task").eqNullSafe(F.col("__task"))
+    empty = F.create_map().cast("map<string,bigint>")
+    joined = summary.join(maps, same, "left").drop("__level", "__method", "__task")
+    return joined.withColumn("failure_type_counts", F.coalesce("failure_type_counts", empty))
+
+
 def task_macro(summary: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Per method the mean of its tasks' means: the other reading of an overall score."""
     return summary.where("level = 'task'").groupBy("method").agg(*(mean(m).alias(f"{m}_task_macro") for m in metrics))

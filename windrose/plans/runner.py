@@ -14,9 +14,10 @@ from windrose.functions.scalar import estimate_calls, estimate_cost
 from windrose.operators.candidates import pending, scope
 from windrose.operators.metrics import aggregate_evaluations, evaluate, zero_if_invalid
 from windrose.operators.rerank import Reranker, ask_provider, rerank_by_score
-from windrose.operators.summary import summarise
+from windrose.operators.summary import summarise, with_failures
 from windrose.schemas import RESULT_KEY
 from windrose.sources import sinks
+from windrose.storage import materialised
 
 KEYS = ["task", "split", "query_id"]
 _SCORES = {"ndcg_at_k": "ndcg_at_10", "mrr_at_k": "mrr_at_10", "map": "map", "recall_at_k": "recall_at_10"}
@@ -28,7 +29,7 @@ def strategy_of(method: Method, listwise: Listwise, pairwise: Pairwise) -> Strat
 
 def run_method(
     samples: DataFrame, name: str, provider: Callable[[], Any] | None, *, listwise: Listwise = Listwise(), pairwise: Pairwise = Pairwise(),
-    price: PriceConfig | None = None, max_concurrency: int = 1, partitions: int | None = None,
+    price: PriceConfig | None = None, max_concurrency: int = 1, partitions: int | None = None, on_usage: Callable[..., Any] | None = None,
 ) -> DataFrame:
     """Rows of the query-result schema for one method over long samples; an invalid answer scores 0 and stays."""
     method = parse_method(name)
@@ -40,7 +41,7 @@ def run_method(
         if provider is None:
             raise RerankInputError(f"{name} needs a provider")
         strategy = strategy_of(method, listwise, pairwise)
-        outcomes = ask_provider(scope(samples, method.depth), provider, strategy, keys=KEYS, max_concurrency=max_concurrency, partitions=partitions)
+        outcomes = ask_provider(scope(samples, method.depth), provider, strategy, keys=KEYS, max_concurrency=max_concurrency, partitions=partitions, on_usage=on_usage)
     places = outcomes.where("valid").select(*KEYS, F.posexplode("order").alias("pos", "original_index"))
     ranked = places.join(samples.select(*KEYS, "original_index", "doc_id"), [*KEYS, "original_index"])
     ranked = ranked.select(*KEYS, F.coalesce("doc_id", F.lit("")).alias("doc_id"), (F.col("pos") + 1).alias("rank"))
@@ -55,16 +56,30 @@ def run_method(
 
 
 def run(
-    spark: SparkSession, samples: DataFrame, methods: Sequence[str], log: str, *, provider: Callable[[], Any] | None = None, resume: bool = True, **options: Any
-) -> DataFrame:
-    """Every pair of sample and method that ``log`` does not hold yet is evaluated and appended; the whole log is returned."""
+    spark: SparkSession, samples: DataFrame, methods: Sequence[str], log: str, *, provider: Callable[[], Any] | None = None, resume: bool = True,
+    batch_queries: int = 1000, evaluate_one: Callable[..., DataFrame] = run_method, on_batch: Callable[[DataFrame], None] | None = None, **options: Any,
+) -> DataFrame:
+    """Every pair of sample and method that ``log`` does not hold yet is evaluated and appended; the whole log is returned.
+
+    Pairs are evaluated about ``batch_queries`` at a time and each batch is appended when it is finished, so what a crash costs is the batch under way. ``evaluate_one`` makes the rows
+    of a batch for one method; ``on_batch`` is told each batch once it is in the log.
+    """
+    if batch_queries < 1:
+        raise ValueError("batch_queries must be 1 or more")
     parsed = [parse_method(m).name for m in methods]
     done = sinks.finished_results(spark, log)
     if not resume and not done.isEmpty():
         raise ValueError(f"{log} holds results; resume, or choose another folder")
     for name in parsed:
-        left = pending(samples, done.where(F.col("method") == name), KEYS) if resume else samples
-        sinks.append_results(run_method(left, name, provider, **options), log)
+        left = pending(samples, sinks.finished_results(spark, log).where(F.col("method") == name), KEYS)
+        n = left.select(*KEYS).distinct().count()
+        parts = -(-n // batch_queries)
+        share = F.pmod(F.xxhash64(*KEYS), F.lit(max(1, parts)))
+        for i in range(parts):
+            rows = materialised(evaluate_one(left.where(share == i), name, provider, **options), "batch")
+            sinks.append_results(rows, log)
+            if on_batch is not None:
+                on_batch(rows)
     return sinks.finished_results(spark, log)
 
 
@@ -93,6 +108,6 @@ def compare(candidates: DataFrame, qrels: DataFrame, strategies: Mapping[str, St
 
 
 def summaries(results: DataFrame, folder: str, arguments: Mapping[str, Any]) -> DataFrame:
-    summary = summarise(results)
+    summary = with_failures(summarise(results), results)
     sinks.write_summaries(folder, summary, sinks.run_metadata(results.sparkSession, arguments))
     return summary

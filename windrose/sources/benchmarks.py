@@ -6,13 +6,16 @@ Wrong input is an error that names file and line; nothing is skipped but blank l
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from windrose.operators.candidates import duplicates, must_match, oracle_plus_hash, with_defaults
+from windrose.errors import DocumentTooLongError
 from windrose.functions.scalar import compose_optional_title, compose_title
+from windrose.operators.candidates import duplicates, must_match, oracle_plus_hash, seeded_shuffle, with_defaults
 from windrose.schemas import CASE
 from windrose.sources.lines import fail_on_first, numbered_lines, require_file
 
@@ -28,6 +31,17 @@ def _json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select("path", "line_no", "value", kind.alias("kind"), F.from_json("value", schema, {"allowSingleQuotes": "false"}).alias("row"))
 
 
+def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(line_no, row) of a JSONL file, one object a line; the first line that is none is an error that names it."""
+    rows = _json_rows(spark, path, schema)
+    fail_on_first(rows.where("kind is not null").select("path", "line_no", F.col("kind").alias("reason")))
+    return rows.select("line_no", "row")
+
+
+def case_id(dataset: str, split: str, query_id: Column) -> Column:
+    return F.concat(F.lit(f"{dataset}-{split}-"), query_id.cast("string"))
+
+
 def _text_reason(row: Column, fields: list[str]) -> list[tuple[Column, str]]:
     return [(F.coalesce(row[f], F.lit("")) == "", f"{f} must be a string that is not empty") for f in fields]
 
@@ -123,9 +137,12 @@ def load_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 def load_beir(
     spark: SparkSession, cache_dir: str, *, split: str = "test", candidates_path: str | None = None, candidate_strategy: str = "candidate_file",
-    candidate_count: int = 20, max_cases: int | None = None, seed: int = 13,
+    candidate_count: int = 20, max_cases: int | None = None, seed: int = 13, dataset: str = "beir-scifact",
 ) -> tuple[DataFrame, DataFrame]:
-    """(candidates, qrels) of a cache with corpus.jsonl, queries.jsonl and qrels/<split>.tsv; queries in string order up to ``max_cases``."""
+    """(candidates, qrels) of a cache with corpus.jsonl, queries.jsonl and qrels/<split>.tsv; queries in string order up to ``max_cases``.
+
+    Candidates bear a ``case_id`` of dataset, split and query.
+    """
     corpus = load_corpus(spark, os.path.join(cache_dir, "corpus.jsonl"))
     queries = load_queries(spark, os.path.join(cache_dir, "queries.jsonl"))
     qrels = load_qrels(spark, os.path.join(cache_dir, "qrels", f"{split}.tsv"))
@@ -144,15 +161,18 @@ def load_beir(
     judged = qrels.select("query_id").distinct()
     rows = must_match(must_match(pairs, judged, ["query_id"], "judgments"), queries, ["query_id"], "query")
     rows = must_match(rows, corpus, ["doc_id"], "document")
-    return rows.select("query_id", "query", "original_index", "doc_id", compose_title(F.col("title"), F.col("text")).alias("text")), qrels
+    text = compose_title(F.col("title"), F.col("text")).alias("text")
+    return rows.select("query_id", "query", "original_index", "doc_id", text, case_id(dataset, split, F.col("query_id")).alias("case_id")), qrels
 
 
 def task_samples(
-    corpus: DataFrame, queries: DataFrame, relevant: DataFrame, top_ranked: DataFrame | None, *, task: str, split: str = "test", max_queries: int | None = None
-) -> DataFrame:
+    corpus: DataFrame, queries: DataFrame, relevant: DataFrame, top_ranked: DataFrame | None, *, task: str, split: str = "test", max_queries: int | None = None,
+    max_document_chars: int | None = None, shuffle_seed: int | None = None,
+) -> DataFrame:
     """Long samples of a retrieval task: corpus (doc_id, title, text), queries (query_id, query), relevant (query_id, doc_id, label), top_ranked (query_id, doc_id, original_index).
 
     Without ``top_ranked`` the judged documents are the candidates, provided that every query has one that is not relevant.
+    A candidate longer than ``max_document_chars`` is an error that names it, before anything is asked. ``shuffle_seed``: candidates in a seeded order.
     """
     if top_ranked is None:
         lacking = relevant.groupBy("query_id").agg(F.bool_or(F.col("label") <= 0).alias("some")).where("not some")
@@ -164,4 +184,67 @@ def task_samples(
         top_ranked = top_ranked.join(top_ranked.select("query_id").distinct().orderBy("query_id").limit(max_queries), "query_id", "left_semi")
     texts = corpus.select("doc_id", compose_optional_title(F.col("title"), F.col("text")).alias("text"))
     joined = with_defaults(top_ranked, texts, queries, relevant)
-    return joined.select(F.lit(task).alias("task"), F.lit(split).alias("split"), "query_id", "query", "original_index", "doc_id", "text", "label")
+    rows = joined.select(F.lit(task).alias("task"), F.lit(split).alias("split"), "query_id", "query", "original_index", "doc_id", "text", "label")
+    if max_document_chars is not None:
+        long = rows.where(F.length("text") > max_document_chars).select("query_id", "doc_id", F.length("text").alias("n")).orderBy("query_id", "doc_id").limit(1).collect()
+        if long:
+            raise DocumentTooLongError(f"{task}: query {long[0]['query_id']} document {long[0]['doc_id']} has {long[0]['n']} characters; the limit is {max_document_chars}")
+    return rows if shuffle_seed is None else seeded_shuffle(rows, shuffle_seed)
+
+
+#: Tables of a stored task: a folder <root>/<task>/<split>/ with <name>.parquet or <name>.jsonl each.
+TASK_TABLES = {
+    "corpus": "doc_id string, title string, text string", "queries": "query_id string, query string",
+    "relevant_docs": "query_id string, doc_id string, label double", "top_ranked": "query_id string, doc_id string, original_index int",
+}
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
+
+
+def split_table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """A table of a stored task's split; None where it has none."""
+    there = _children(spark, folder)
+    if f"{name}.parquet" in there:
+        read = spark.read.parquet(f"{folder}/{name}.parquet")
+        fields = [x.split() for x in TASK_TABLES[name].split(", ")]
+        return read.select(*(F.col(n).cast(k).alias(n) if n in read.columns else F.lit(None).cast(k).alias(n) for n, k in fields))
+    if f"{name}.jsonl" in there:
+        return json_objects(spark, f"{folder}/{name}.jsonl", TASK_TABLES[name]).select("row.*")
+    return None
+
+
+def list_tasks(spark: SparkSession, root: str) -> list[dict[str, object]]:
+    """{"name", "splits"} of every stored task, by name."""
+    found = [{"name": t, "splits": [s for s in _children(spark, f"{root}/{t}") if split_table(spark, f"{root}/{t}/{s}", "corpus") is not None]} for t in _children(spark, root)]
+    return [t for t in found if t["splits"]]
+
+
+def inspect_task(spark: SparkSession, root: str, name: str) -> dict[str, dict[str, object]]:
+    """By split and table the fields of a stored task, or null for a table that isn't there."""
+    splits = next((t["splits"] for t in list_tasks(spark, root) if t["name"] == name), None)
+    if splits is None:
+        raise ValueError(f"{root} holds no task {name!r}")
+    tables = {s: {t: split_table(spark, f"{root}/{name}/{s}", t) for t in TASK_TABLES} for s in splits}
+    return {s: {t: None if df is None else dict(df.dtypes) for t, df in own.items()} for s, own in tables.items()}
+
+
+def load_tasks(spark: SparkSession, root: str, names: Sequence[str] | None = None, *, split: str = "test", **options: Any) -> DataFrame:
+    """Long samples of the named stored tasks, of all that have the split where none is named; ``options`` as for ``task_samples``."""
+    stored = {t["name"]: t["splits"] for t in list_tasks(spark, root)}
+    wanted = [n for n, s in stored.items() if split in s] if names is None else list(names)
+    if not wanted:
+        raise ValueError(f"{root} holds no task with a split {split!r}")
+    out = None
+    for name in wanted:
+        if split not in stored.get(name, []):
+            raise ValueError(f"{root} holds no task {name!r} with a split {split!r}")
+        tables = {t: split_table(spark, f"{root}/{name}/{split}", t) for t in TASK_TABLES}
+        if lacking := [t for t, df in tables.items() if df is None and t != "top_ranked"]:
+            raise ValueError(f"{name}/{split} has no {', '.join(lacking)}")
+        own = task_samples(tables["corpus"], tables["queries"], tables["relevant_docs"], tables["top_ranked"], task=name, split=split, **options)
+        out = own if out is None else out.unionByName(own)
+    return out
