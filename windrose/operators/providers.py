@@ -59,14 +59,14 @@ class Outcome:
 UsageCallback = Callable[[Usage], Any]
 
 
-async def _call(provider: Any, outcome: Outcome, name: str, *args: Any, on_usage: UsageCallback | None = None) -> str:
-    """One answer; plain functions run in a thread, so that other queries go on meanwhile."""
+async def _call(provider: Any, outcome: Outcome, name: str, *args: Any, on_usage: UsageCallback | None = None, threads: bool = True) -> str:
+    """One answer; plain functions run in a thread where ``threads``, so that other queries go on meanwhile."""
     outcome.llm_calls += 1
     function = getattr(provider, name)
     if inspect.iscoroutinefunction(function):
         answer = await function(*args)
     else:
-        answer = await asyncio.to_thread(function, *args)
+        answer = await asyncio.to_thread(function, *args) if threads else function(*args)
     if isinstance(answer, tuple):
         answer, usage = answer
         if usage is not None:
@@ -106,10 +106,10 @@ async def _pairwise(ask: Ask, query: str, texts: list[str], strategy: Pairwise,
     return order
 
 
-async def answer(provider: Any, query: str, texts: list[str], strategy: Strategy, on_usage: UsageCallback | None = None) -> Outcome:
+async def answer(provider: Any, query: str, texts: list[str], strategy: Strategy, on_usage: UsageCallback | None = None, threads: bool = True) -> Outcome:
     """The order of one query's texts, or the recorded failure; nothing is retried or repaired."""
     outcome, began = Outcome(), time.perf_counter()
-    ask = partial(_call, provider, outcome, on_usage=on_usage)
+    ask = partial(_call, provider, outcome, on_usage=on_usage, threads=threads)
     try:
         if long := [(i, len(t)) for i, t in enumerate(texts) if len(t) > strategy.max_document_chars]:
             i, size = long[0]
@@ -160,7 +160,7 @@ class Pool:
                     return Outcome(valid=False, failure_type=NOT_ASKED)
                 provider = self.shared or (self.free.pop() if self.free else self.factory())
                 try:
-                    outcome = await answer(provider, query, texts, strategy, on_usage)
+                    outcome = await answer(provider, query, texts, strategy, on_usage, self.size > 1)
                 finally:
                     if self.shared is None:
                         self.free.append(provider)

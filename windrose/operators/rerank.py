@@ -50,10 +50,15 @@ def normalised(documents: Sequence[str | Document]) -> list[Document]:
     return [d if isinstance(d, Document) else Document(d) for d in documents]
 
 
+def length_failure(text: Column, limit: int) -> Column:
+    """The failure_type of a text that is longer than the limit; null for others."""
+    return F.when(F.length(text) > limit, "document_too_long")
+
+
 def guard_length(text: Column, limit: int) -> Column:
     """``text``, or an error that names its length, where it is longer than the limit; it is never cut."""
     message = F.format_string(f"document of %d characters; the limit is {limit}", F.length(text))
-    return F.when(F.length(text) > limit, F.raise_error(message)).otherwise(text)
+    return F.when(length_failure(text, limit).isNotNull(), F.raise_error(message)).otherwise(text)
 
 
 def _scored(ranked: DataFrame, top_k: int | None) -> DataFrame:

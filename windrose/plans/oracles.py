@@ -148,7 +148,7 @@ ORACLES: dict[str, str] = {
     "rerank_top_k": _with(_LIST20, select=_ROWS + " WHERE rank <= 5"),
     "candidate_scope_at_n": _with(_listwise(20, 10, 20), select=_ROWS),
     "provider_listwise": _with(_LIST20, select=_ROWS),
-    "provider_pairwise": _with(_pairwise(1), select=_ROWS),
+    "provider_pairwise": _with(_pairwise(10), select=_ROWS),
     **{
         f"metric_{query}": _with(_LIST20, _scores(), select=f"SELECT query_id, round({short}, 6) AS {name} FROM scores")
         for query, short, name in (("ndcg10", "ndcg", "ndcg_at_k"), ("mrr10", "mrr", "mrr_at_k"), ("recall10", "recall", "recall_at_k"), ("map", "map", "map"))

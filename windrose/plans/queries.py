@@ -7,7 +7,6 @@ contains the query's text has grade 2 and a candidate labelled good has grade 1.
 
 from __future__ import annotations
 
-import json
 import re
 from functools import lru_cache
 
@@ -20,7 +19,7 @@ from windrose.functions import parsing, scalar
 from windrose.operators import candidates as C
 from windrose.operators.metrics import aggregate_evaluations, evaluate, zero_if_invalid
 from windrose.operators.providers import FunctionProvider
-from windrose.operators.rerank import ask_provider, original_order, ranked_rows, rerank_by_score
+from windrose.operators.rerank import ask_provider, guard_length, length_failure, original_order, ranked_rows, rerank_by_score
 from windrose.operators.summary import METRICS, failure_histogram, nearest_rank, summarise
 from windrose.storage import materialised
 
@@ -255,9 +254,8 @@ def dup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def length_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its length and whether the default limit refuses it."""
-    n = F.length("text")
-    refused = F.when(n > Listwise().max_document_chars, "document_too_long")
-    return corpus(spark, sf_dir).select("doc_id", n.alias("chars"), refused.alias("failure_type"))
+    docs = corpus(spark, sf_dir)
+    return docs.select("doc_id", F.length(guard_length(F.col("text"), NO_LIMIT)).alias("chars"), length_failure(F.col("text"), Listwise().max_document_chars).alias("failure_type"))
 
 
 def oracle_plus_hash_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,25 +291,28 @@ class _Overlap(FunctionProvider):
 def _provided(strategy: Strategy):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = materialised(candidates(spark, sf_dir), "candidates")  # asked and joined to the answers
-        outcomes = ask_provider(rows, _Overlap, strategy, max_concurrency=4, partitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
+        outcomes = ask_provider(rows, _Overlap, strategy, partitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
         return ranked_rows(rows, outcomes).select("query_id", "rank", "original_index", "doc_id", "score")
 
     return query
 
 
 provider_listwise = _provided(LISTWISE_20)
-provider_pairwise = _provided(Pairwise(passes=1, max_document_chars=NO_LIMIT))
+provider_pairwise = _provided(Pairwise(passes=10, max_document_chars=NO_LIMIT))
 
 
 def parse_winner_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each conversation turn, taken as an answer or wrapped as one, names a winner: by the strict parser."""
+    """Whether each conversation turn, taken as an answer or as the reason within one, names a winner: by the strict parser."""
     @F.pandas_udf("string")
     def winner(raw: pd.Series) -> pd.Series:
         return raw.map(lambda x: _winner(x))
 
     turns = table(spark, sf_dir, "conversations")
     kind = (F.col("conv_id") + F.col("turn")) % 4
-    raw = F.when(kind == 0, F.lit(json.dumps({"winner": "A"}))).when(kind == 1, F.lit(json.dumps({"winner": "B"}))).when(kind == 2, F.lit(json.dumps({"winner": "a"}))).otherwise(F.coalesce("text", F.lit("")))
+    said = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("why")))
+    raw = F.coalesce("text", F.lit(""))
+    for k, name in ((0, "A"), (1, "B"), (2, "a")):
+        raw = F.when(kind == k, F.concat(F.lit(f'{{"winner": "{name}", '), F.substr(said, F.lit(2)))).otherwise(raw)
     return turns.select("conv_id", "turn", winner(raw).alias("winner"))
 
 

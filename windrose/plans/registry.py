@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrose.plans import oracles
+from windrose.plans import more_oracles, more_queries, oracles
 from windrose.plans import queries as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -45,5 +45,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "oracle_plus_hash_candidates": Q.oracle_plus_hash_candidates,
     "hash_shuffle": Q.hash_shuffle,
     "seeded_shuffle": Q.seeded_shuffle,
+    **more_queries.QUERIES,
 }
-ORACLES: dict[str, str] = oracles.ORACLES
+ORACLES: dict[str, str] = oracles.ORACLES | more_oracles.ORACLES

@@ -26,7 +26,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def require_file(path: str) -> str:
     """``path``, which must be there where it is on a local disk; other file systems complain themselves."""
-    if "://" not in path and not os.path.exists(path):
+    local = path.removeprefix("file://").removeprefix("file:")
+    if "://" not in local and not os.path.exists(local):
         raise FileNotFoundError(path)
     return path
 
