@@ -54,3 +54,24 @@ def test_texts_that_share_a_digest_stay_apart(spark, monkeypatch):
 
 def test_empty(spark):
     assert E.kept_with_copies(frame(spark, [])).count() == 0 and E.keep_one(frame(spark, [])).count() == 0
+
+
+def test_large_groups_take_several_rows(spark, monkeypatch):
+    import random
+
+    import pytest
+
+    from tests.llm._data import frame, row, text
+    from windrose.llm import exact_dedup as D
+
+    monkeypatch.setattr(D, "PART_ROWS", 3)
+    rng = random.Random(8)
+    body, other = text(rng, 9), text(rng, 9)
+    rows = [row(i, body) for i in range(20)] + [row(100, other), row(101, other), row(200, text(rng, 9))]
+    got = D.kept_with_copies(frame(spark, rows)).collect()
+    large = [r for r in got if r["doc_id"] == 0]
+    assert len(large) > 1 and sorted(c for r in large for c in r["copies"]) == list(range(20)) and {r["n_copies"] for r in large} == {20}
+    assert len({r["part"] for r in large}) == len(large)
+    assert {(r["doc_id"], tuple(r["copies"])) for r in got if r["doc_id"]} == {(100, (100, 101)), (200, (200,))}
+    with pytest.raises(TypeError):
+        D.kept_with_copies(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

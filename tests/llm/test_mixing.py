@@ -65,3 +65,16 @@ def test_awkward_rows(spark):
     assert M.mix(frame(spark, [])).count() == 0 and M.emitted_ids(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
         M.emitted_ids(df, {"web": 0.0})
+
+
+def test_columns_of_any_kind_and_ids_that_are_texts(spark):
+    rows = documents(random.Random(6), 60)
+    df = frame(spark, rows).selectExpr("concat('id', doc_id) as doc_id", "text", "source", "map('k', doc_id) as m", "array(map('a', map(1, source))) as deep", "parse_json('{\"x\": 1}') as v", "cast(text as binary) as raw", "cast(null as void) as nothing")
+    out = M.mix(df)
+    assert out.columns == [*df.columns, "copy"] and abs(out.count() - 60) <= 4
+    assert M.emitted_ids(df).count() == out.count()
+
+
+def test_as_many_sources_as_documents(spark):
+    rows = [row(i, "x", source=f"host{i}") for i in range(500)]
+    assert {r["doc_id"]: r["copy"] for r in M.emitted_ids(frame(spark, rows)).collect()} == {i: 1 for i in range(500)}

@@ -78,3 +78,16 @@ def test_empty_and_wrong(spark):
     assert best_fit(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
         Limits(tokens=0)
+
+
+def test_an_id_that_many_rows_share_is_spread(spark):
+    rng = random.Random(7)
+    rows = [row(None, text(rng, rng.randrange(1, 4))) for _ in range(300)] + [row(5, "same text here")] * 200 + [row(i, text(rng, 2)) for i in range(100, 200)]
+    out = best_fit(frame(spark, rows), Limits(tokens=256, docs=8, shard_rows=64)).collect()
+    keys = [(r["doc_id"], r["copy"], r["piece"]) for r in out]
+    assert len(keys) == len(set(keys)) and {len({c for d, c, _ in keys if d == i}) for i in (None, 5)} == {300, 200}
+    shards = defaultdict(set)
+    for r in out:
+        shards[r["bin_id"] >> 32].add((r["doc_id"], r["copy"]))
+    assert max(map(len, shards.values())) < 4 * 64 and sum(map(len, shards.values())) == 600
+    assert sum(r["tokens"] for r in out) == sum(-(-len(t.encode()) // 4) for _, t, *_ in rows)

@@ -50,6 +50,24 @@ def test_long_secrets_are_found_to_their_end(n, form):
         assert pii.scan(body) == [(start, start + len(value), "secret")]
 
 
+@pytest.mark.parametrize("n", [40, 300, 5000])
+def test_nothing_of_a_secret_is_left(n):
+    values = ["AKIA" + "AB12" * (n // 4), "ASIA" + "AB12" * (n // 4), "eyJ" + "a" * n + "." + "b_" * n + "." + "c-1" * n, "sk-proj-" + "aB3" * n, "ghp_" + "aB3" * n]
+    for value in values:
+        body = f"key {value}, ok"
+        assert pii.masked(body, pii.scan(body)) == "key <secret>, ok"
+    for name in ("password", "token_of_" + "the_long_name_" * (n // 14 + 1), "SECRET-" + "x" * n):
+        body = f"{name}   =    " + "v1!x" * n + " end"
+        assert pii.masked(body, pii.scan(body)) == f"{name}   =    <secret> end"
+
+
+def test_hosts_that_are_too_long_are_no_addresses():
+    host = ".".join(["a" * 60] * 4) + ".org"
+    assert len(host) == 247 and pii.scan(f"x@{host}") == [(0, 249, "email")]
+    assert pii.scan("x@" + ".".join(["a" * 60] * 6) + ".org") == [] and pii.scan("x" * 65 + "@b.org") == []
+    assert pii.scan("a" * 40 + "://ex.org/1") == [(0, 51, "url")]
+
+
 def test_cards_of_issuer_35():
     assert pii.scan("paid by 3530111333300000.") == [(8, 24, "card")]
 
@@ -91,5 +109,5 @@ def test_redaction(spark):
 
 
 def test_hostile_texts_take_linear_time():
-    for body in ("@" * 50_000, "a" * 100_000 + "@", "1 " * 50_000, "http://" * 20_000, "password=" * 10_000, "+1" * 50_000, "-----BEGIN " * 3_000):
+    for body in ("@" * 50_000, "a" * 100_000 + "@", "1 " * 50_000, "http://" * 20_000, "password=" * 10_000, "+1" * 50_000, "-----BEGIN " * 3_000, "-eyJ" * 40_000, "-eyJabcdefgh.abcdefgh" * 9_000, "password " * 20_000, "token_" * 30_000, "a+" * 60_000 + "://"):
         pii.scan(body)

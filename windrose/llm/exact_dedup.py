@@ -10,7 +10,10 @@ Digests with more than one document are hits. Their texts, and no others, are co
 by the text itself), so texts that merely share a digest stay apart.
 
 Defined cases: a null text is no copy of anything and is kept; empty texts are copies of each other; a null doc_id
-has no row in the result and is kept by ``keep_one``; equal rows are one document; extra columns are never read.
+has no row in the result and is kept by ``keep_one``; equal rows are one document; the longest texts are compared whole; ids that aren't whole numbers
+are refused; an empty table gives an empty one; extra columns, whatever their names, are never read, and passed on by ``keep_one``.
+
+A partition's index is held by one task, about 30 bytes a distinct digest: set ``spark.sql.shuffle.partitions`` to the number of distinct texts over ten million at least.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from windrose.llm._common import PART_ROWS, col, cut, fresh
+from windrose.llm._common import PART_ROWS, col, cut, fresh, whole_ids
 
 MEMTABLE_ROWS = 1 << 17
 FANOUT = 4
@@ -126,6 +129,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digested(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    whole_ids(docs, doc_id)
     digest = F.md5(col(text).cast("binary"))
     half = [F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint") for at in (1, 16)]
     source = docs.where(col(doc_id).isNotNull()).select(col(doc_id).cast("bigint").alias("node"), col(text).alias("text"))

@@ -12,7 +12,7 @@ only thing broadcast, and their number does not depend on the rows.
 
 Defined cases: a null text, or one without letters, gets a null language and distance 0; texts without a label shape
 no profile; an empty training table leaves every language null; rows that repeat are judged alike; input columns other
-than the id, text and label are not read.
+than the id, text and label are not read, whatever their names; an empty table gives no rows; ids that aren't whole numbers are refused.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from windrose.llm import _text
-from windrose.llm._common import col
+from windrose.llm._common import col, whole_ids
 
 SIZE = 300
 _SPACE = 1
@@ -179,6 +179,7 @@ def _classifier(languages: list[str], grams: np.ndarray, ranks: np.ndarray, size
 
 def identify(docs: DataFrame, trained: DataFrame, size: int = SIZE, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, language, distance) of every row of ``docs``; ``trained`` is the result of ``profiles``."""
+    whole_ids(docs, doc_id)
     rows = trained.select("lang", "gram", "rank").toArrow()
     languages = sorted(set(rows.column("lang").to_pylist()))
     gram = rows.column("gram").to_numpy().view(np.uint64)

@@ -13,7 +13,9 @@ the work is linear in the input, and the waste is at most a few open bins a shar
 Token counts: a column or expression; by default a quarter of the UTF-8 bytes, rounded up.
 
 Defined cases: a null or empty text has 0 tokens and takes no bin; a null doc_id is packed like any other; rows that
-repeat a doc_id are separate items, numbered by ``copy``, the longest first; extra columns are not read.
+repeat a doc_id are separate items, numbered by ``copy`` (the longest first, unless there are more than an eighth of a shard: these are dealt out over several shards and
+numbered there by turns); the longest texts are cut into pieces; ids that aren't whole numbers are refused; an empty table gives no rows; extra columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from windrose.llm._common import col
+from windrose.llm._common import col, whole_ids, written
 
 SCHEMA = "bin_id bigint, position int, doc_id bigint, copy int, piece int, first_token bigint, tokens int"
 
@@ -134,9 +136,18 @@ def _packer(limits: Limits):
 def best_fit(docs: DataFrame, limits: Limits = Limits(), tokens: Column | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per piece: bin_id, position in the bin, doc_id, copy, piece, first_token and tokens."""
     tokens = default_tokens(text) if tokens is None else tokens
+    whole_ids(docs, doc_id)
     items = docs.select(col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(tokens, F.lit(0)).cast("bigint").alias("length")).where("length > 0")
-    shards = max(1, -(-docs.count() // limits.shard_rows))
-    items = items.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "length", "doc_id")
-    items = items.repartition("shard").withColumn("copy", F.row_number().over(W.partitionBy("shard", "doc_id").orderBy(F.desc("length"))))
+    # Written once: counted, asked for ids that many rows share, and packed; its row numbers so never change.
+    items = written(items.withColumn("nth", F.monotonically_increasing_id()), "items")
+    shards = max(1, -(-items.count() // limits.shard_rows))
+    most = max(1, limits.shard_rows // 8)
+    hot = items.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col("doc_id").alias("hot"), F.ceil(F.col("n") / most).alias("ways"))
+    items = items.join(hot, F.col("doc_id").eqNullSafe(F.col("hot")), "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
+    items = items.withColumn("way", F.pmod("nth", "ways"))
+    shard = F.when(F.col("ways") == 1, F.xxhash64("doc_id")).otherwise(F.xxhash64("doc_id", "way"))
+    items = items.select(F.pmod(shard, F.lit(shards)).alias("shard"), "length", "doc_id", "ways", "way").repartition("shard")
+    nth = F.row_number().over(W.partitionBy("shard", "doc_id", "way").orderBy(F.desc("length")))
+    items = items.withColumn("copy", ((nth - 1) * F.col("ways") + F.col("way") + 1).cast("int")).drop("ways", "way")
     items = items.sortWithinPartitions("shard", F.desc("length"), "doc_id", "copy")
     return items.mapInArrow(_packer(limits), SCHEMA)

@@ -12,7 +12,7 @@ expands left and right to the boundaries of the candidate and validates it:
 * ``iban``: country, check digits and length, with the mod-97 sum;
 * ``ssn``: nine digits as 3-2-4 with valid groups, after a cue;
 * ``account``: 6 to 17 digits after an account cue;
-* ``secret``: the value assigned to a password-like name, or a token with a known prefix.
+* ``secret``: the value assigned to a password-like name, or a token with a known prefix; of any length.
 
 Overlapping findings are resolved by the earlier start, then the longer, then the kind's name.
 
@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from windrose.llm._common import col, mapped, others
+from windrose.llm._common import col, mapped, others, whole_ids
 
 Finding = tuple[int, int, str]
 
@@ -44,9 +44,20 @@ _IBAN_LENGTH = dict(
 )
 
 
+_runs: dict[re.Pattern, tuple[str, int, int]] = {}
+
+
+def _run_end(kind: re.Pattern, text: str, at: int) -> int:
+    """The end of the run of one class of characters; the last run is kept, so that many cues inside it take linear time."""
+    last = _runs.get(kind)
+    if last is None or last[0] is not text or not last[1] <= at < last[2]:
+        last = _runs[kind] = text, at, kind.match(text, at).end()
+    return last[2]
+
+
 def _host_end(text: str, at: int) -> int:
     end, n = at, len(text)
-    while end < n and text[end] in _HOST and end - at < 254:
+    while end < n and text[end] in _HOST:
         end += 1
     while end > at and text[end - 1] in ".-":
         end -= 1
@@ -62,23 +73,34 @@ def email(text: str, at: int) -> Finding | None:
         start += 1
     end = _host_end(text, at + 1)
     local, labels = text[start:at], text[at + 1 : end].split(".")
-    if not local or len(local) > 64 or local[-1] == "." or ".." in local:
+    if not local or len(local) > 64 or end - at > 254 or local[-1] == "." or ".." in local:
         return None
     if len(labels) < 2 or not all(map(_LABEL.match, labels)) or len(labels[-1]) < 2 or not labels[-1].isalpha():
         return None
     return start, end, "email"
 
 
-_URL_END = frozenset(" \t\r\n\"<>|\\^`{}")
+_URL_RUN = re.compile(r"[^ \t\r\n\"<>|\\^`{}]*")
+_AUTHORITY = re.compile(r"[^/?#]*")
+_MARKS = ".,;:!?'*"
+_trimmed: list = [None, 0, 0]  # the last text, the end of a run in it, and that end without trailing marks
 
 
 def _link(text: str, start: int, host: int) -> Finding | None:
-    end, n = host, len(text)
-    while end < n and text[end] not in _URL_END:
-        end += 1
-    while end > host and (text[end - 1] in ".,;:!?'*" or text[end - 1] == ")" and text.count("(", host, end) < text.count(")", host, end)):
-        end -= 1
-    authority = re.split(r"[/?#]", text[host:end], maxsplit=1)[0].rpartition("@")[2].partition(":")[0]
+    """The anchors inside one run of URL characters share its end, so that many of them take linear time."""
+    end = _run_end(_URL_RUN, text, host)
+    if _trimmed[0] is not text or _trimmed[1] != end:
+        last = end
+        while last and text[last - 1] in _MARKS:
+            last -= 1
+        _trimmed[:] = text, end, last
+    end = max(host, _trimmed[2])
+    if end > host and text[end - 1] == ")":
+        surplus = text.count(")", host, end) - text.count("(", host, end)
+        while end > host and (text[end - 1] in _MARKS or text[end - 1] == ")" and surplus > 0):
+            surplus -= text[end - 1] == ")"
+            end -= 1
+    authority = text[host : min(end, _AUTHORITY.match(text, host).end())].rpartition("@")[2].partition(":")[0]
     labels = authority.split(".")
     if len(labels) < 2 or not all(map(_LABEL.match, labels)):
         return None
@@ -88,7 +110,7 @@ def _link(text: str, start: int, host: int) -> Finding | None:
 def scheme(text: str, at: int) -> Finding | None:
     """``at``: the colon of ``://``."""
     start = at
-    while start and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+.-") and at - start < 16:
+    while start and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+.-"):
         start -= 1
     while start < at and not text[start].isalpha():
         start += 1
@@ -181,20 +203,10 @@ def iban(text: str, at: int) -> Finding | None:
 
 _SSN = re.compile(r"[\s:#=a-zA-Z.]{0,12}?(\d{3})-(\d{2})-(\d{4})(?![\d-])")
 _NUMBER = re.compile(r"(?:\s*(?:no|nr|num|number|id))?\.?\s*[:#=]?\s*((?:\d[ -]?){5,16}\d)(?![\dA-Za-z])", re.I)
-_ASSIGNS = re.compile(r"[\w-]{0,24}[\"']?\s{0,4}(?:=|:)\s{0,4}")
+_NAME = re.compile(r"[\w-]*")
+_ASSIGNS = re.compile(r"[\"']?\s*+[=:]\s*+")
 _QUOTED = re.compile(r"\"([^\"\n]{4,})\"|'([^'\n]{4,})'")
 _BARE = re.compile(r"[^\s\"',;|<>]*")
-_runs: dict[re.Pattern, tuple[str, int, int]] = {}
-
-
-def _run_end(kind: re.Pattern, text: str, at: int) -> int:
-    """The end of the run of one class of characters; the last run is kept, so that many cues inside it take linear time."""
-    last = _runs.get(kind)
-    if last is None or last[0] is not text or not last[1] <= at < last[2]:
-        last = _runs[kind] = text, at, kind.match(text, at).end()
-    return last[2]
-
-
 def _cue_starts(text: str, at: int) -> bool:
     return not (at and (text[at - 1].isalnum()))
 
@@ -212,7 +224,7 @@ def account(text: str, at: int, end: int) -> Finding | None:
 
 
 def assigned(text: str, at: int, end: int) -> Finding | None:
-    found = _ASSIGNS.match(text, end)
+    found = _ASSIGNS.match(text, _run_end(_NAME, text, end))
     if not found or at and text[at - 1].isalpha():
         return None
     start = found.end()
@@ -230,9 +242,8 @@ def assigned(text: str, at: int, end: int) -> Finding | None:
 
 
 _PREFIXED = {
-    "AKIA": re.compile(r"AKIA[A-Z0-9]{12,20}(?![A-Za-z0-9])"), "ASIA": re.compile(r"ASIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    "AKIA": re.compile(r"AKIA[A-Z0-9]{12,}+(?![A-Za-z0-9])"), "ASIA": re.compile(r"ASIA[A-Z0-9]{16,}+(?![A-Za-z0-9])"),
     "ghp_": re.compile(r"ghp_[A-Za-z0-9]{20,}"),
-    "eyJ": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "-----BEGIN": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)?"),
 }
 
@@ -243,6 +254,18 @@ _LONG = {
 }
 
 
+_JWT = [re.compile(x) for x in ("[A-Za-z0-9_-]*", "[A-Za-z0-9_-]*(?:)", "(?:)[A-Za-z0-9_-]*")]  # three patterns, so that each keeps its last run
+
+
+def _web_token(text: str, at: int) -> Finding | None:
+    end = at - 1
+    for part in _JWT:
+        start, end = end + 1, _run_end(part, text, end + 1)
+        if end - start < 8 or part is not _JWT[-1] and text[end : end + 1] != ".":
+            return None
+    return at, end, "secret"
+
+
 def prefixed(text: str, at: int, cue: str) -> Finding | None:
     if at and text[at - 1].isalnum():
         return None
@@ -251,6 +274,8 @@ def prefixed(text: str, at: int, cue: str) -> Finding | None:
         found = head.match(text, at)
         end = _run_end(run, text, found.end()) if found else 0
         return (at, end, "secret") if found and end - found.end() >= least else None
+    if cue == "eyJ":
+        return _web_token(text, at)
     found = _PREFIXED[cue].match(text, at)
     return (at, found.end(), "secret") if found else None
 
@@ -275,7 +300,7 @@ def _automaton():
     for cue in ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key"):
         for form in {cue, cue.upper(), cue.capitalize()}:
             machine.add_word(form, (len(form), _cue(assigned, len(form))))
-    for cue in (*_PREFIXED, *_LONG):
+    for cue in (*_PREFIXED, *_LONG, "eyJ"):
         machine.add_word(cue, (len(cue), _prefix(cue)))
     machine.make_automaton()
     return machine
@@ -332,6 +357,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, kind, start, end, value): a row per finding."""
+    whole_ids(docs, doc_id)
     source = docs.where(col(text).isNotNull()).select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text"))
     return source.mapInArrow(_find, "doc_id bigint, kind string, start int, end int, value string")
 

@@ -13,7 +13,8 @@ pairs of a large group multiply. A bucket (segment, codeword) is streamed in key
 segment's codewords as inner key: nothing is capped or sampled.
 
 Defined cases: texts that are null or have no word are never near copies; a null doc_id is never grouped; rows that
-share a doc_id are one document, which takes its first fingerprint, and stay or go together.
+share a doc_id are one document, which takes its first fingerprint, and stay or go together; equal texts are at distance 0; the longest texts are read
+whole; ids that aren't whole numbers are refused; an empty table gives an empty one; other columns, whatever their names, are passed on by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrose.llm import _text, golay
-from windrose.llm._common import PART_ROWS, col, connected_components, cut, fresh
+from windrose.llm._common import PART_ROWS, col, connected_components, cut, fresh, whole_ids
 
 SEGMENTS = 8
 MAX_DISTANCE = 32
@@ -178,6 +179,7 @@ def _verified(max_distance: int, rows: int = 60_000):
 
 def near_copies(docs: DataFrame, max_distance: int = MAX_DISTANCE, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, root): the documents of every group of near copies, each with the group's smallest doc_id."""
+    whole_ids(docs, doc_id)
     longs = [f"f{k}" for k in range(_LONGS)]
     source = docs.where(col(doc_id).isNotNull() & col(text).isNotNull()).select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text"))
     prints = source.mapInArrow(_fingerprint, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in longs))

@@ -13,7 +13,7 @@ shard's filter in a cogroup; the answers are the same.
 
 Defined cases: a null or empty URL has no key and is never listed; URLs that differ only in what ``normalised`` removes share a
 key; rows that repeat are judged each; an empty list blocks nothing, an empty corpus gives no rows; only the url and
-id columns are read.
+id columns are read, whatever the names of others; URLs are read whole; ids that aren't whole numbers are refused.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windrose.llm._common import col, cut
+from windrose.llm._common import col, cut, whole_ids
 
 BROADCAST_BYTES = 128 << 20
 SHARD_KEYS = 2_000_000
@@ -165,6 +165,7 @@ def judge(
     pages: DataFrame, listed_urls: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS, page_id: str = "page_id", url: str = "url"
 ) -> DataFrame:
     """(page_id, url, blocked) of every row of ``pages``: whether its URL's key is one of ``listed_urls``."""
+    whole_ids(pages, page_id)
     spark = pages.sparkSession
     filters, shards = build(pages.select(col(url).alias("url")), listed_urls, shard_keys=shard_keys)
     filters = cut(filters)
@@ -179,10 +180,11 @@ def judge(
     slices = 64
     # Keys and ids must hold no nulls here, or pandas would make doubles of them.
     source = source.withColumns({"known": F.col("hi").isNotNull(), "hi": F.coalesce("hi", F.lit(0)), "lo": F.coalesce("lo", F.lit(0)), "page_id": F.col("page_id").cast("string")})
-    source = source.withColumns({"shard": F.pmod("hi", F.lit(shards)).cast("int"), "slice": F.pmod(F.xxhash64("page_id"), F.lit(slices)).cast("int")})
+    unknown = source.where("not known").select("page_id", "url", F.lit(False).alias("blocked"))
+    source = source.where("known").withColumns({"shard": F.pmod("hi", F.lit(shards)).cast("int"), "slice": F.pmod(F.xxhash64("page_id"), F.lit(slices)).cast("int")})
     spread = filters.select("shard", "filter", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
     judged = source.groupBy("shard", "slice").cogroup(spread.groupBy("shard", "slice")).applyInPandas(_judge_shard, "page_id string, url string, blocked boolean")
-    return judged.withColumn("page_id", F.col("page_id").cast("bigint"))
+    return judged.unionByName(unknown).withColumn("page_id", F.col("page_id").cast("bigint"))
 
 
 def allowed(pages: DataFrame, listed_urls: DataFrame, **options) -> DataFrame:
