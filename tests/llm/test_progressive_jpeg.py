@@ -67,3 +67,23 @@ def test_thumbnails_equal_brute_force(spark):
         else:
             want = direct(J.thumbnail([x if x is not None else 0.0 for x in v], r["vec_id"]))
             assert np.abs(np.frombuffer(r["rgb"], np.uint8).reshape(want.shape).astype(float) - want).max() <= 1
+
+
+def test_header_bombs_are_errors_without_memory():
+    import tracemalloc
+
+    good = J.encode(picture(16, 16))
+    at = good.index(b"\xff\xc2") + 5
+    tracemalloc.start()
+    for side, why in ((4096, "truncated scan"), (26_000, "truncated scan"), (65_500, "2 GiB")):
+        bomb = good[:at] + side.to_bytes(2, "big") * 2 + good[at + 4 :]
+        with pytest.raises(J.BadImage, match=why):
+            J.decode(bomb)
+    assert tracemalloc.get_traced_memory()[1] < 10 << 20
+    tracemalloc.stop()
+
+
+def test_tensors_are_handed_on_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(J, "_TOGETHER", 3000)
+    df = spark.createDataFrame([(i, J.encode(picture(20, 10 + i))) for i in range(7)] + [(9, None)], "n bigint, file binary").coalesce(1)
+    assert {(r["n"], r["width"]) for r in J.decoded(df).collect()} == {(i, 10 + i) for i in range(7)} | {(9, None)}

@@ -9,13 +9,15 @@ Read: SOF0, SOF1 and SOF2 of 8 bits, one to four components, any sampling factor
 quantisers; JFIF YCbCr, Adobe RGB, grey. CMYK, arithmetic coding and lossless files are reported as errors.
 
 Defined cases: a null or empty file gives a null tensor and the error "no data"; a broken or truncated one a null tensor and
-what was wrong; nothing raises. Rows that repeat are decoded each; input columns are passed on, but for those called
-``width height rgb error``, which are replaced.
+what was wrong. Memory is taken for coefficients only once a scan has a bit for every block, so a short file that claims to be a large picture is an error
+at once; a picture whose tensor would be 2 GiB or more, which no row can hold, is an error too. Tensors are handed on about 64 MB at a time. Rows that
+repeat are decoded each; an empty table gives an empty one; input columns are passed on, but for those called ``width height rgb error``, which are replaced.
 """
 
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +33,10 @@ ZIGZAG = np.array([
 ])
 _N = np.arange(8)
 _DCT = np.cos((2 * _N[None, :] + 1) * _N[:, None] * np.pi / 16) * np.where(_N[:, None] == 0, np.sqrt(1 / 8), 0.5)
-MAX_PIXELS = 1 << 28
+#: Bytes of a row's tensor: what an Arrow column of binaries can hold.
+MOST_BYTES = (1 << 31) - 1
+#: Bytes of tensors that are handed on together.
+_TOGETHER = 64 << 20
 
 
 class BadImage(ValueError):
@@ -92,7 +97,8 @@ class _Bits:
 class _Component:
     def __init__(self, ident: int, h: int, v: int, tq: int) -> None:
         self.ident, self.h, self.v, self.tq = ident, h, v, tq
-        self.coef: list[list[int]] = []
+        self.coef: array | None = None  # 64 a block; made when the first scan shows that there are data for them
+        self.blocks = 0
         self.wide = self.high = self.stride = self.pred = 0
 
 
@@ -173,8 +179,10 @@ class Decoder:
         if self.components:
             raise BadImage("several frames")
         bits, self.height, self.width, n = struct.unpack_from(">BHHB", body)
-        if bits != 8 or not self.height or not self.width or n not in (1, 2, 3, 4) or len(body) < 6 + 3 * n or self.width * self.height > MAX_PIXELS:
+        if bits != 8 or not self.height or not self.width or n not in (1, 2, 3, 4) or len(body) < 6 + 3 * n:
             raise BadImage("unsupported frame")
+        if 3 * self.width * self.height > MOST_BYTES:
+            raise BadImage("a tensor of 2 GiB or more doesn't fit a row")
         self.progressive = progressive
         for k in range(n):
             ident, hv, tq = body[6 + 3 * k : 9 + 3 * k]
@@ -187,7 +195,7 @@ class Decoder:
             c.wide = -(-(-(-self.width * c.h // self.hmax)) // 8)
             c.high = -(-(-(-self.height * c.v // self.vmax)) // 8)
             c.stride = self.mcus[0] * c.h
-            c.coef = [[0] * 64 for _ in range(c.stride * self.mcus[1] * c.v)]
+            c.blocks = c.stride * self.mcus[1] * c.v
 
     def _segments(self, at: int) -> tuple[list[bytes], int]:
         """The scan's entropy-coded segments between restart markers, and where the next marker is."""
@@ -225,29 +233,38 @@ class Decoder:
         if first > last or last > 63 or (self.progressive and first == 0 and last) or (first and n > 1):
             raise BadImage("bad spectral selection")
         segments, after = self._segments(at)
-        blocks = self._order(chosen)
-        step = self._step(first, high)
-        per = self.restart * (1 if n == 1 else sum(c.h * c.v for c, _, _ in chosen)) or len(blocks)
-        for k, begin in enumerate(range(0, len(blocks), per)):
-            if k >= len(segments):
+        count = chosen[0][0].wide * chosen[0][0].high if n == 1 else self.mcus[0] * self.mcus[1] * sum(c.h * c.v for c, _, _ in chosen)
+        if first == 0 and not high:
+            # Every block has a code of a bit at least here, so no header can claim more blocks than there are bits.
+            if count > 8 * sum(map(len, segments)):
                 raise BadImage("truncated scan")
-            bits, self.eobrun = _Bits(segments[k]), 0
             for c, _, _ in chosen:
-                c.pred = 0
-            for coef, (c, dc, ac) in blocks[begin : begin + per]:
-                if (dc is None and first == 0 and not high) or (ac is None and last):
-                    raise BadImage("no Huffman table")
-                step(bits, coef, c, dc, ac, first, last, low)
+                c.coef = array("h", bytes(128 * c.blocks))
+        if any(c.coef is None for c, _, _ in chosen):
+            raise BadImage("a scan before the first of its component")
+        if any((dc is None and first == 0 and not high) or (ac is None and last) for _, dc, ac in chosen):
+            raise BadImage("no Huffman table")
+        step = self._step(first, high)
+        per = self.restart * (1 if n == 1 else sum(c.h * c.v for c, _, _ in chosen)) or count
+        for k, (base, (c, dc, ac)) in enumerate(self._order(chosen)):
+            if k % per == 0:
+                if k // per >= len(segments):
+                    raise BadImage("truncated scan")
+                bits, self.eobrun = _Bits(segments[k // per]), 0
+                for part, _, _ in chosen:
+                    part.pred = 0
+            step(bits, c.coef, base, c, dc, ac, first, last, low)
         return after
 
-    def _order(self, chosen: list) -> list:
+    def _order(self, chosen: list) -> Iterator[tuple[int, tuple]]:
+        """The scan's blocks: where their coefficients begin, and whose they are."""
         if len(chosen) == 1:
             c = chosen[0][0]
-            return [(c.coef[y * c.stride + x], chosen[0]) for y in range(c.high) for x in range(c.wide)]
-        return [
-            (c.coef[(my * c.v + v) * c.stride + mx * c.h + h], part)
+            return ((64 * (y * c.stride + x), chosen[0]) for y in range(c.high) for x in range(c.wide))
+        return (
+            (64 * ((my * c.v + v) * c.stride + mx * c.h + h), part)
             for my in range(self.mcus[1]) for mx in range(self.mcus[0]) for part in chosen for c in part[:1] for v in range(c.v) for h in range(c.h)
-        ]
+        )
 
     def _step(self, first: int, high: int):
         if not self.progressive:
@@ -256,8 +273,8 @@ class Decoder:
             return self._dc_refine if high else self._dc_first
         return self._ac_refine if high else self._ac_first
 
-    def _sequential(self, bits, coef, c, dc, ac, first, last, low) -> None:
-        self._dc_first(bits, coef, c, dc, ac, 0, 0, 0)
+    def _sequential(self, bits, coef, base, c, dc, ac, first, last, low) -> None:
+        self._dc_first(bits, coef, base, c, dc, ac, 0, 0, 0)
         k = 1
         while k <= 63:
             rs = bits.symbol(ac)
@@ -270,18 +287,18 @@ class Decoder:
             k += run
             if k > 63:
                 raise BadImage("coefficient out of range")
-            coef[k] = bits.signed(size)
+            coef[base + k] = bits.signed(size)
             k += 1
 
-    def _dc_first(self, bits, coef, c, dc, ac, first, last, low) -> None:
+    def _dc_first(self, bits, coef, base, c, dc, ac, first, last, low) -> None:
         c.pred += bits.signed(bits.symbol(dc) & 15)
-        coef[0] = c.pred * (1 << low)
+        coef[base] = c.pred * (1 << low)
 
-    def _dc_refine(self, bits, coef, c, dc, ac, first, last, low) -> None:
+    def _dc_refine(self, bits, coef, base, c, dc, ac, first, last, low) -> None:
         if bits.take(1):
-            coef[0] |= 1 << low
+            coef[base] |= 1 << low
 
-    def _ac_first(self, bits, coef, c, dc, ac, first, last, low) -> None:
+    def _ac_first(self, bits, coef, base, c, dc, ac, first, last, low) -> None:
         if self.eobrun:
             self.eobrun -= 1
             return
@@ -293,7 +310,7 @@ class Decoder:
                 k += run
                 if k > last:
                     raise BadImage("coefficient out of range")
-                coef[k] = bits.signed(size) * (1 << low)
+                coef[base + k] = bits.signed(size) * (1 << low)
                 k += 1
             elif run == 15:
                 k += 16
@@ -301,8 +318,8 @@ class Decoder:
                 self.eobrun = (1 << run) - 1 + bits.take(run)
                 return
 
-    def _ac_refine(self, bits, coef, c, dc, ac, first, last, low) -> None:
-        k, plus = first, 1 << low
+    def _ac_refine(self, bits, coef, base, c, dc, ac, first, last, low) -> None:
+        k, last, plus = base + first, base + last, 1 << low
         if not self.eobrun:
             while k <= last:
                 rs = bits.symbol(ac)
@@ -339,11 +356,13 @@ class Decoder:
         for c in self.components:
             if c.tq not in self.quant:
                 raise BadImage("no quantiser")
-            zigzagged = np.array(c.coef, np.int64).reshape(-1, 64) * self.quant[c.tq]
+            if c.coef is None:
+                raise BadImage("a component without a scan")
+            zigzagged = np.frombuffer(c.coef, np.int16).reshape(-1, 64) * self.quant[c.tq]
             blocks = np.zeros_like(zigzagged)
             blocks[:, ZIGZAG] = zigzagged
             pixels = _DCT.T @ blocks.reshape(-1, 8, 8) @ _DCT + 128
-            rows = len(c.coef) // c.stride
+            rows = c.blocks // c.stride
             plane = pixels.reshape(rows, c.stride, 8, 8).transpose(0, 2, 1, 3).reshape(8 * rows, 8 * c.stride)
             y = np.arange(self.height) * c.v // self.vmax
             x = np.arange(self.width) * c.h // self.hmax
@@ -376,20 +395,33 @@ def decoded(files: DataFrame, *, file: str = "file") -> DataFrame:
     names = others(files, "width", "height", "rgb", "error")
     at = names.index(file)
 
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for data in batch.column(at).to_pylist():
+            first = size = 0
+
+            def made() -> pa.RecordBatch:
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+                own = batch.slice(first, len(rows))
+                return pa.RecordBatch.from_arrays([*own.columns, *columns], [*batch.schema.names, *(f"made_{n}" for n in ("width", "height", "rgb", "error"))])
+
+            for data in batch.column(at):
                 try:
-                    if not data:
+                    if not data.is_valid or not len(data.as_buffer()):
                         raise BadImage("no data")
-                    pixels = decode(data)
-                    rows.append((pixels.shape[1], pixels.shape[0], pixels.tobytes(), None))
+                    pixels = decode(data.as_py())
+                    row = pixels.shape[1], pixels.shape[0], pixels.tobytes(), None
                 except BadImage as bad:
-                    rows.append((None, None, None, str(bad)))
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
-            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *(f"made_{n}" for n in ("width", "height", "rgb", "error"))])
+                    row = None, None, None, str(bad)
+                if rows and size + len(row[2] or b"") > _TOGETHER:
+                    yield made()
+                    first, size, rows = first + len(rows), 0, []
+                rows.append(row)
+                size += len(row[2] or b"")
+            if rows:
+                yield made()
 
     return mapped(files.select(*map(col, names)), run, [("width", "integer"), ("height", "integer"), ("rgb", "binary"), ("error", "string")])
 
