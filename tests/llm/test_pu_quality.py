@@ -94,6 +94,14 @@ def test_one_id_in_many_rows_counts_once(spark):
     assert len(model.kept) and sum(i in got for i in good) >= 0.97 * len(good)
 
 
+def test_the_same_model_however_rows_are_spread(spark):
+    rng = random.Random(11)
+    rows = [row(i, text(rng, 6) if i % 3 else junk(rng)) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150) if i % 3], LABELS)
+    one, other = (Q.train(d, Q.trusted_ids(labels)) for d in (frame(spark, rows), frame(spark, rows[::-1]).repartition(7)))
+    assert np.array_equal(one.kept, other.kept) and np.array_equal(one.weights, other.weights) and (one.bias, one.prior) == (other.bias, other.prior)
+
+
 def test_prior_of_known_mixtures():
     rng = np.random.default_rng(2)
     for share in (0.3, 0.6, 0.9):

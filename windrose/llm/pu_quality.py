@@ -369,7 +369,8 @@ def train(
     sample = some.mapInArrow(_narrowed(kept), "h bigint, features binary").unionByName(everything.where(F.col("h") <= sampled).groupBy("h").agg(F.min("features").alias("features")))
 
     def parts(table: pa.Table) -> tuple[Sparse, Sparse, np.ndarray]:
-        """Trusted and unlabelled rows, and which of the latter have an even ``h``."""
+        """Trusted and unlabelled rows, and which of the latter have an even ``h``; in one order, however the rows arrive."""
+        table = table.combine_chunks().sort_by([("h", "ascending"), ("features", "ascending")])
         hashed, rows = table.column("h").combine_chunks(), table.column("features").combine_chunks()
         mask = hashed.is_null().to_numpy(zero_copy_only=False)
         every = _rows(rows, width)
