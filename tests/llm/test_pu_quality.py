@@ -91,8 +91,10 @@ def test_one_id_in_many_rows_counts_once(spark):
     model = Q.train(many, Q.trusted_ids(labels), positives=60, unlabelled=120)
     got = {r[0] for r in Q.accepted(many, model, columns=["doc_id"]).collect()}
     good = [r[0] for r in rows if r[0] % 3 and r[0] != 1]
-    # With 60 trusted texts the threshold is about the smallest of their scores, so one in 60 of the others may be under it, give or take.
-    assert len(model.kept) and sum(i in got for i in good) >= 0.93 * len(good)
+    # 30 trusted texts held out say little about the prior: what matters here is that 401 rows of one id don't take the sample over.
+    bad = [r[0] for r in rows if not r[0] % 3]
+    share = [sum(i in got for i in ids) / len(ids) for ids in (good, bad)]
+    assert len(model.kept) and share[0] > 0.8 and share[1] < 0.2
 
 
 def test_the_same_model_however_rows_are_spread(spark):
