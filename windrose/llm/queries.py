@@ -13,6 +13,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost much Python: over all cores, where its files have fewer splits than these."""
+    from windrose.operators.candidates import spread
+
+    return spread(_table(spark, sf_dir, name))
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, without the later repeats of runs of 24 words or more."""
     from windrose.llm.line_dedup import remove_repeats
@@ -24,7 +31,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language by profiles of all labelled documents."""
     from windrose.llm.language_id import identify, profiles
 
-    docs = _table(spark, sf_dir, "documents")
+    docs = _spread(spark, sf_dir, "documents")
     return identify(docs, profiles(docs))
 
 
@@ -77,7 +84,7 @@ def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A thumbnail of every embedding, stored as a progressive JPEG and decoded to its RGB tensor."""
     from windrose.llm.progressive_jpeg import decoded, thumbnails
 
-    return decoded(thumbnails(_table(spark, sf_dir, "embeddings"))).drop("file")
+    return decoded(thumbnails(_spread(spark, sf_dir, "embeddings"))).drop("file")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
