@@ -10,7 +10,8 @@ bound recall falls slowly, as segments a little further apart still share keys o
 Equal fingerprints are joined to one representative before the search, each bucket hands on a spanning
 forest of its verified pairs, and groups are connected components; so neither the exact copies of a text nor the
 pairs of a large group multiply. A bucket (segment, codeword) is streamed in key order and searched with a second
-segment's codewords as inner key: nothing is capped or sampled.
+segment's codewords as inner key: nothing is capped or sampled. Large groups of equal inner keys are compared a block of
+rows at a time, without pairs whose first row's component is known to hold both.
 
 Defined cases: texts that are null or have no word are never near copies; a null doc_id is never grouped; rows that
 share a doc_id are one document, which takes its first fingerprint, and stay or go together; equal texts are at distance 0; the longest texts are read
@@ -31,6 +32,7 @@ from windrose.llm._common import PART_ROWS, col, connected_components, cut, fres
 
 SEGMENTS = 8
 MAX_DISTANCE = 32
+LARGE, BLOCK, TILE = 64, 64, 1024
 _WIDTH = SEGMENTS * golay.BITS
 _LONGS = SEGMENTS // 2
 _SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.uint8)).copy().view(np.uint64).ravel()
@@ -104,17 +106,75 @@ class Forest:
     """Union-find whose roots are the smallest members."""
 
     def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+        self.up = np.arange(n)
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        root = self.up[x]
+        while True:
+            above = self.up[root]
+            if np.array_equal(above, root):
+                break
+            root = above
+        self.up[x] = root
+        return root
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Joins a[i] and b[i] for all i; where a root is hung under several, the rounds after join the others."""
+        while len(a):
+            a, b = self.roots(a), self.roots(b)
+            apart = np.flatnonzero(a != b)
+            a, b = a[apart], b[apart]
+            self.up[np.maximum(a, b)] = np.minimum(a, b)
 
     def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
+        return int(self.roots(np.array([x]))[0])
 
     def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+        self.merge(np.array([a]), np.array([b]))
+
+
+def _join_small(key: np.ndarray, node: np.ndarray, packed: np.ndarray, forest: Forest, max_distance: int) -> None:
+    """Joins all pairs with equal keys within ``max_distance``; ``key`` is sorted."""
+    longs = [packed[:, k].copy() for k in range(_LONGS)]
+    for a, b in _grouped_pairs(key):
+        distance = np.zeros(len(a), np.uint8)
+        for k in range(_LONGS):
+            distance += np.bitwise_count(longs[k][a] ^ longs[k][b])
+            if k == 1:  # half of the bits tell most pairs apart
+                near = np.flatnonzero(distance <= max_distance)
+                a, b, distance = a[near], b[near], distance[near]
+        near = np.flatnonzero(distance <= max_distance)
+        forest.merge(node[a[near]], node[b[near]])
+
+
+def _join_large(node: np.ndarray, packed: np.ndarray, forest: Forest, max_distance: int) -> None:
+    """Joins all pairs within ``max_distance`` of one large group: a block of rows against the rest, tile by tile.
+
+    Rows are in order of their roots and a block isn't compared with the rest of its first row's component, so that a group of
+    near copies takes one block, whatever its size.
+    """
+    longs = np.ascontiguousarray(packed.T)
+    while len(node) > 1:
+        root = forest.roots(node)
+        order = np.argsort(root, kind="stable")
+        root, node, longs = root[order], node[order], longs[:, order]
+        start = int(np.searchsorted(root, root[0], "right"))
+        if start == len(node):
+            return
+        rows = longs[:, :BLOCK, None]
+        left, right = [], []
+        for at in range(start, len(node), TILE):
+            tile = longs[:, None, at : at + TILE]
+            distance = np.bitwise_count(rows[0] ^ tile[0])
+            for k in range(1, _LONGS):
+                distance += np.bitwise_count(rows[k] ^ tile[k])
+            near = np.flatnonzero(distance <= max_distance)
+            if len(near):
+                left.append(near // distance.shape[1])
+                right.append(near % distance.shape[1] + at)
+        if left:
+            forest.merge(node[np.concatenate(left)], node[np.concatenate(right)])
+        node, longs = node[BLOCK:], longs[:, BLOCK:]
 
 
 def _search(bucket: np.ndarray, ids: np.ndarray, packed: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,28 +183,24 @@ def _search(bucket: np.ndarray, ids: np.ndarray, packed: np.ndarray, max_distanc
     bucket, ids, packed = bucket[order], ids[order], packed[order]
     unique, node = np.unique(ids, return_inverse=True)
     forest = Forest(len(unique))
-    found: list[np.ndarray] = []
     own = bucket >> 12
     for s in range(1, SEGMENTS):
         rows = np.flatnonzero(own < s)
+        if not len(rows):
+            continue
         at, index = golay.keys(segment(packed[rows], s))
         key = bucket[rows][at].astype(np.int64) << 12 | index
         order = np.argsort(key, kind="stable")
         at, key = rows[at[order]], key[order]
-        for a, b in _grouped_pairs(key):
-            a, b = at[a], at[b]
-            distance = np.zeros(len(a), np.uint8)
-            for k in range(_LONGS):
-                distance += np.bitwise_count(packed[a, k] ^ packed[b, k])
-            near = np.flatnonzero(distance <= max_distance)
-            if len(near):
-                found.append(np.unique(node[a[near]].astype(np.int64) << 32 | node[b[near]]))
-    if found:
-        pairs = np.unique(np.concatenate(found))
-        for a, b in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()):
-            if a != b:
-                forest.join(a, b)
-    roots = np.array([forest.root(x) for x in range(len(unique))], np.int64)
+        bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        size = np.diff(bounds)
+        for g in np.flatnonzero(size >= LARGE).tolist():
+            group = at[bounds[g] : bounds[g + 1]]
+            _join_large(node[group], packed[group], forest, max_distance)
+        small = np.repeat((size > 1) & (size < LARGE), size)
+        at, key = at[small], key[small]
+        _join_small(key, node[at], packed[at], forest, max_distance)
+    roots = forest.roots(np.arange(len(unique)))
     joined = np.flatnonzero(roots != np.arange(len(unique)))
     return unique[joined], unique[roots[joined]]
 
