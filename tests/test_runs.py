@@ -153,3 +153,38 @@ def test_the_joined_first_stage_has_the_same_rows(spark, monkeypatch):
     names = spark.createDataFrame([("b", "x y"), ("a", "x y"), ("c", "x")], "doc_id string, text string")
     monkeypatch.setattr(C, "INDEX_PAIRS", 100)
     assert [r["doc_id"] for r in C.first_stage(spark.createDataFrame([("q", "x y")], "query_id string, query string"), names, 2).orderBy("original_index").collect()] == ["a", "b"]
+
+
+def test_the_first_stage_holds_no_more_when_more_texts_come(monkeypatch):
+    """Long texts that share much with every query: what a task holds beside them is bounded, and the best are right."""
+    import random
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    asked = [rng.sample(words, 30) for _ in range(100)]
+    index = SimpleNamespace(value=C.QueryIndex(pa.array(range(100)), asked))
+    texts = [rng.sample(words, 30) for _ in range(500)]
+    batch = pa.array([" ".join([*t, *(f"n{i}" for i in range(1000))]) for t in texts])
+
+    def peak(n: int) -> tuple[int, list]:
+        tracemalloc.start()
+        try:
+            batches = (pa.RecordBatch.from_arrays([pa.array(range(b * 500, b * 500 + 500)), batch], ["doc_id", "text"]) for b in range(n))
+            out = list(C._matcher(index, 5)(batches))
+            return tracemalloc.get_traced_memory()[1], [tuple(r.values()) for x in out for r in x.to_pylist()]
+        finally:
+            tracemalloc.stop()
+
+    few, many = peak(1), peak(8)
+    assert few[0] < 24e6 and many[0] < 24e6
+    sets = [{*t} for t in texts]
+    want = {(q, *x) for q, a in enumerate(asked) for x in sorted(((d, len({*a} & sets[d % 500])) for d in range(4000)), key=lambda x: (-x[1], x[0]))[:5]}
+    assert {r[:3] for r in many[1] if not r[5]} == want and {r[3:5] for r in many[1]} == {(1030, 30)}
+    for name, small in (("_GATHERED", 70), ("_HELD", 90), ("_TEXTS", 3), ("_TRIPLES", 50), ("_LONG", 10)):  # handed on in parts: more rows, the same best
+        monkeypatch.setattr(C, name, small)
+    parts = peak(1)[1]
+    assert {r for r in parts if r[5]} == {r for r in few[1] if r[5]} and len({*parts}) == len(parts) > len(few[1]) and {*few[1]} <= {*parts}

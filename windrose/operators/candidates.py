@@ -22,8 +22,14 @@ _TOKEN = re.compile("[a-z0-9]+")
 
 #: (query, token) pairs up to which the queries' index goes to every task; a larger set of queries is joined instead.
 INDEX_PAIRS = 2_000_000
-#: Pairs of query and document that a task gathers before it drops those behind the ``depth`` best.
-_GATHERED = 1 << 20
+#: Pairs of query and document that a task gathers, at the least, before it drops those behind the ``depth`` best.
+_GATHERED = 1 << 18
+#: Best pairs that a task holds; with more queries than that allows it hands them on and holds the next ones.
+_HELD = 1 << 20
+#: Texts, and (text, token, query) triples, that are matched at once; only a single text can bring more triples.
+_TEXTS, _TRIPLES = 512, 1 << 17
+#: Characters from which on a text's tokens aren't listed before their repetitions are dropped.
+_LONG = 1 << 18
 MATCHES = "shared int, doc_tokens int, query_tokens int, full boolean"
 
 
@@ -40,15 +46,19 @@ class QueryIndex:
         self.start = np.concatenate(([0], np.cumsum([len(x) for x in by_token.values()]))).astype(np.int64)
         self.held = np.array([q for x in by_token.values() for q in x], np.int32)
 
-    def match(self, texts: list[set[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, query, shared tokens) of those that share any."""
-        rows = [[self.row[t] for t in tokens & self.row.keys()] for tokens in texts]
-        doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        row = np.fromiter((r for own in rows for r in own), np.int64, len(doc))
+    def tokens(self, text: str | None) -> tuple[np.ndarray, int]:
+        """The rows of the queries' tokens in a text, and the number of all its distinct tokens."""
+        low = (text or "").lower()
+        found = {*_TOKEN.findall(low)} if len(low) < _LONG else {m.group() for m in _TOKEN.finditer(low)}
+        return np.array([self.row[t] for t in found if t in self.row], np.int64), len(found)
+
+    def match(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, query, shared tokens) of those that share any, by the rows of each text."""
+        row = np.concatenate(rows)
         size = self.start[row + 1] - self.start[row]
         at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[row], size)
-        key = np.repeat(doc, size) * max(1, len(self.size)) + self.held[at]
-        if len(texts) * len(self.size) <= 4 * len(key):
+        key = np.repeat(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), size) * max(1, len(self.size)) + self.held[at]
+        if len(rows) * len(self.size) <= 4 * len(key):
             count = np.bincount(key)
             found = np.flatnonzero(count)
             count = count[found]
@@ -56,6 +66,21 @@ class QueryIndex:
             found, count = np.unique(key, return_counts=True)
         return *np.divmod(found, max(1, len(self.size))), count.astype(np.int32)
 
+    def blocks(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(place of the text, query, shared tokens, tokens of the text) of those that share any, a bounded block at a time."""
+        rows: list[np.ndarray] = []
+        sizes: list[int] = []
+        first = triples = 0
+        for i, text in enumerate(texts, 1):
+            row, size = self.tokens(text.as_py())
+            rows.append(row)
+            sizes.append(size)
+            triples += int((self.start[row + 1] - self.start[row]).sum())
+            if triples >= _TRIPLES or len(rows) == _TEXTS or i == len(texts):
+                place, q, shared = self.match(rows)
+                yield place + first, q, shared, np.array(sizes, np.int32)[place]
+                rows, sizes, first, triples = [], [], i, 0
+
 
 def _best(q: np.ndarray, shared: np.ndarray, docs: pa.Array, depth: int) -> np.ndarray:
     """The places of each query's ``depth`` best."""
@@ -68,40 +93,53 @@ def _best(q: np.ndarray, shared: np.ndarray, docs: pa.Array, depth: int) -> np.n
 
 
 def _matcher(index: Broadcast, depth: int):
+    """What a task does: memory is bounded by the constants above and a batch of texts, however many batches come."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: QueryIndex = index.value
+        least = np.zeros(len(at.size), np.int32)  # what the worst of a query's best shares, once there are ``depth``
         held: list[tuple] = []
-        gathered = 0
-
-        def columns(parts: list[tuple]) -> tuple:
-            q, shared, size = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            return q, shared, size, pa.concat_arrays([p[3] for p in parts])
+        kept = gathered = 0
 
         def made(q, shared, size, docs, full: bool) -> pa.RecordBatch:
             arrays = [at.ids.take(pa.array(q)), docs, pa.array(shared), pa.array(size), pa.array(at.size[q]), pa.repeat(pa.scalar(full), len(q))]
             return pa.RecordBatch.from_arrays(arrays, ["query_id", "doc_id", *(c.split()[0] for c in MATCHES.split(", "))])
 
+        def best() -> tuple:
+            q, shared, size = (np.concatenate([p[i] for p in held]) for i in range(3))
+            docs = pa.concat_arrays([p[3] for p in held])
+            keep = _best(q, shared, docs, depth)
+            q, shared, size, docs = q[keep], shared[keep], size[keep], docs.take(pa.array(keep))
+            n = np.bincount(q, minlength=len(least))
+            whole = n == depth
+            least[whole] = shared[(np.cumsum(n) - 1)[whole]]
+            return q, shared, size, docs
+
+        def handed_on(q, shared, size, docs) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(q), 50_000):
+                k = slice(i, i + 50_000)
+                yield made(q[k], shared[k], size[k], docs[k], False)
+
         for batch in batches:
-            for first in range(0, len(batch), 512):
-                part = batch.slice(first, 512)
-                texts = [{*_TOKEN.findall(t.lower())} if t else set() for t in part.column(1).to_pylist()]
-                row, q, shared = at.match(texts)
-                size = np.array([len(t) for t in texts], np.int32)[row]
-                docs = part.column(0).take(pa.array(row))
+            ids = batch.column(0)
+            for place, q, shared, size in at.blocks(batch.column(1)):
                 if len(full := np.flatnonzero(shared == at.size[q])):
-                    yield made(q[full], shared[full], size[full], docs.take(pa.array(full)), True)
-                held.append((q, shared, size, docs))
-                gathered += len(q)
-                if gathered >= _GATHERED:
-                    q, shared, size, docs = columns(held)
-                    keep = _best(q, shared, docs, depth)
-                    held, gathered = [(q[keep], shared[keep], size[keep], docs.take(pa.array(keep)))], 0
+                    yield made(q[full], shared[full], size[full], ids.take(pa.array(place[full])), True)
+                near = np.flatnonzero(shared >= least[q])
+                if not len(near):
+                    continue
+                held.append((q[near], shared[near], size[near], ids.take(pa.array(place[near]))))
+                gathered += len(near)
+                if gathered >= max(_GATHERED, kept):
+                    held, gathered = [best()], 0
+                    kept = len(held[0][0])
+                    if kept > _HELD:
+                        yield from handed_on(*held.pop())
+                        kept = 0
+            del batch, ids  # before the next one is read
+            pa.default_memory_pool().release_unused()
         if held:
-            q, shared, size, docs = columns(held)
-            keep = _best(q, shared, docs, depth)
-            for i in range(0, len(keep), 50_000):
-                k = keep[i : i + 50_000]
-                yield made(q[k], shared[k], size[k], docs.take(pa.array(k)), False)
+            yield from handed_on(*best())
 
     return run
 
